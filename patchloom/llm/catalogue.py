@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["queries_topn", "queries_splitting", "queries_overlap"]
+MODULES = ["queries_topn", "queries_splitting", "queries_overlap", "queries_credentials"]
 
 
 def _merged(what: str) -> dict:
