@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["queries_handwritten", "queries_splitting", "queries_credentials", "queries_topn", "queries_overlap"]
+MODULES = ["queries_handwritten", "queries_splitting", "queries_credentials", "queries_topn", "queries_packing", "queries_overlap"]
 
 
 def _merged(what: str) -> dict:
