@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["references"]
+MODULES = ["findings", "diffs", "indexing", "texts", "scoring", "streams", "references"]
 
 
 def _merged(what: str) -> dict:
@@ -26,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p3_orphans_per_month"](spark, sf_dir)
+    """The verdict of every review over its merged findings."""
+    return queries()["merged_verdict"](spark, sf_dir)
