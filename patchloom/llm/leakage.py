@@ -13,7 +13,7 @@ BLOCK_CHARS characters, each block sent to the executors, however many items the
 
 Defined results: words are the longest runs of a to z in the lower-cased text; texts with fewer
 words than a shingle, null and empty texts hold nothing; equal items all leak; repeated rows count
-once; empty tables give none; other columns are not read.
+once; rows without an identifier are left out; empty tables give none; other columns are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ A text over the capacity is cut into full contexts and a rest that is packed lik
 other text is cut. A context holds one group only. Its identifier is its first member, so that a
 task that runs again gives the same contexts.
 
-Defined results: null and empty texts need no room and get no row; texts without a group are a
+Defined results: null and empty texts need no room and get no row, and neither do records
+without an identifier; texts without a group are a
 group of their own; repeated deliveries of a record count once, the largest text of it; equal
 texts and ties are ordered by identifier; an empty table gives none; extra columns are dropped.
 """
@@ -191,7 +192,7 @@ def _packed(capacity: int):
 def pack(items: DataFrame, item_id: str, group: str, text: str, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, piece, n_pieces, owner, context_id, position, n_tokens): the place of every text, or of every piece of a larger one."""
     rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(group).cast("string").alias("owner"), F.col(text).alias("text"))
-    sized = rows.where("text <> ''").mapInArrow(_sized(vocabulary), "id long, owner string, n_tokens long, key long")
+    sized = rows.where("text <> '' and id is not null").mapInArrow(_sized(vocabulary), "id long, owner string, n_tokens long, key long")
     once = sized.groupBy("id").agg(F.max(F.struct("n_tokens", "owner", "key")).alias("x")).select("id", "x.*")
     ready = materialise(once, "sized")
     partitions = max(1, -(-ready.count() // PARTITION_ITEMS))

@@ -12,7 +12,7 @@ characters. Where m is too small for the overlap and one more token, the overlap
 Defined results: null and empty texts give no piece; texts within their limit give one whole
 piece; a null, zero or negative limit means DEFAULT_LIMIT; a CRLF is never parted by a cut; the
 pieces without their overlaps, put together, are the text exactly. Repeated deliveries of an
-item give one set of pieces; extra columns are dropped.
+item give one set of pieces, and items without an identifier count as one; extra columns are dropped.
 """
 
 from __future__ import annotations
