@@ -79,6 +79,8 @@ _USERINFO = re.compile(r"(?i)[a-z][a-z0-9+.\-]*://[^\s:/@\"'`]*:([^\s/@\"'`]+)@"
 _USER = re.compile(r"(?:\s-u|--user)[ =]\s*[\"']?[^\s:\"']+:([^\s\"']+)")
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _FINISH = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_BODY = re.compile(r"(^[+\- ])|(\\[nr])|[A-Za-z0-9+/=]{2,}", re.M)
+_REST = re.compile(r"(?:[A-Za-z0-9+/=]|\\[nr]|\n[+\- ]?(?=[A-Za-z0-9+/=]{16}))*")
 _TOKENS = re.compile("|".join(TOKEN_FORMATS))
 _JOINED = re.compile(r"([\"'])\s*\+\s*\1")
 _LEAD = re.compile(r"^(?:\s*\d+ \| ?)?[+\- ]?\s*(?:(?://|#|--|/?\*+)\s*)?(?:old:\s*)?(?:-\s+)?(?:export\s+|set\s+|ENV\s+|ARG\s+)?[\"']?$")
@@ -214,21 +216,23 @@ def spans(text: str | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in merged]
 
 
+def _masked_key(value: str) -> str:
+    """A private key with every run of its body masked; armor, line ends, escapes and diff marks stay."""
+    begin, finish = _BEGIN.match(value), _FINISH.search(value)
+    body = value[begin.end() : finish.start() if finish else len(value)]
+    return value[: begin.end()] + _BODY.sub(lambda m: m[0] if m[1] or m[2] else MASK, body) + (value[finish.start() :] if finish else "")
+
+
 def masked(text: str, found: list[tuple[int, int]]) -> str:
-    """text with MASK for each span; key armor stays, and so does the number of lines."""
+    """text with MASK for each span; the number of lines stays."""
     out, last = [], 0
     for a, b in found:
-        value = text[a:b]
-        begin, finish = _BEGIN.match(value), None
-        if begin:
-            finish = _FINISH.search(value)
-            a, b = a + begin.end(), a + finish.start() if finish else b
-            if not finish:
-                tail = re.compile(r"(?:[A-Za-z0-9+/=]|\\n|\n[+\- ]?)*").match(text, a)
-                b = max(b, tail.end())
-            value = text[a:b]
-        keep = "\n".join([MASK, *[""] * (value.count("\n") - 1), ""]) if begin and "\n" in value else MASK
-        out += [text[last:a], "\n" + keep if begin and value.startswith("\n") and value.count("\n") > 1 else keep]
+        if _BEGIN.match(text, a):
+            if not _FINISH.search(text, a, b):
+                b = max(b, _REST.match(text, b).end())
+            out += [text[last:a], _masked_key(text[a:b])]
+        else:
+            out += [text[last:a], MASK]
         last = b
     return "".join([*out, text[last:]])
 

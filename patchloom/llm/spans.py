@@ -120,15 +120,21 @@ def _edges_of(k: int, window: int):
 
 
 def _windows_of(k: int, min_chars: int):
-    """Digests of the windows that hold one of a text's hot edges whole."""
+    """Digests of the windows that hold a k-mer equal to one of a text's hot edges, wherever it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text, stretches in zip(batch["doc"].to_pylist(), texts(batch["text"]), batch["stretches"].to_pylist()):
-                starts: set[int] = set()
-                for s in stretches:
-                    starts.update(range(max(0, s["first"] + k - min_chars), min(len(text) - min_chars, s["last"]) + 1))
-                rows = [(hashlib.sha256(text[p : p + min_chars].encode("utf-8", "surrogatepass")).digest()[:16], doc, p) for p in sorted(starts)]
+                points = code_points(text)
+                hashes = gram_hashes(points, k)
+                places, _ = kept_edges(points, k, min_chars - k + 1)
+                hot = np.unique(np.concatenate([hashes[places[(places >= s["first"]) & (places <= s["last"])]] for s in stretches]))
+                at = np.flatnonzero(np.isin(hashes, hot))
+                change = np.zeros(len(points) + 2, np.int64)
+                np.add.at(change, np.maximum(at + k - min_chars, 0), 1)
+                np.add.at(change, at + 1, -1)
+                starts = np.flatnonzero(np.cumsum(change)[: len(points) - min_chars + 1] > 0)
+                rows = [(hashlib.sha256(text[p : p + min_chars].encode("utf-8", "surrogatepass")).digest()[:16], doc, p) for p in starts.tolist()]
                 if rows:
                     yield batch_of(_WINDOWS, rows)
 
