@@ -11,6 +11,8 @@ from ..functions.text import tokens, truncated
 MAX_TOKENS = 100_000
 CONTEXT_CHARS, LEAST_TAIL = 16_000, 200
 SOURCE_CHARS = 8_000
+#: Characters of a context entry with no name, symbol or text.
+LEAST_ENTRY = 28
 
 
 def fitting_chunks(chunks: DataFrame, limits: DataFrame) -> DataFrame:
@@ -80,7 +82,9 @@ def pruned_list(chunks: DataFrame, kept: DataFrame) -> DataFrame:
 def context_prefix(chunks: DataFrame, most: int = CONTEXT_CHARS, least_tail: int = LEAST_TAIL) -> DataFrame:
     """(review_id, chunk_id, entry): the entries of a prompt until the next one exceeds the budget, and then its head if enough is left.
 
-    Lengths run first over narrow rows; only the entries that stay carry their text.
+    Lengths run first over narrow rows, and only over the first ones of a review: an entry has
+    LEAST_ENTRY characters at least, so later ones cannot be within the budget. The rank filter
+    works before the shuffle too. Only the entries that stay carry their text.
     """
     head = F.concat(
         F.lit("### "), F.col("file_path"), F.lit(" :: "), F.coalesce("symbol_kind", F.lit("")), F.lit(" "), F.coalesce("symbol", F.lit("")), F.lit(" (L"),
@@ -90,6 +94,7 @@ def context_prefix(chunks: DataFrame, most: int = CONTEXT_CHARS, least_tail: int
     size = (F.length(head) + F.coalesce(F.length("diff_text"), F.lit(0)) + 5).cast("long")
     narrow = chunks.select("review_id", "chunk_id", size.alias("size"))
     along = Window.partitionBy("review_id").orderBy("chunk_id")
+    narrow = narrow.withColumn("_rank", F.row_number().over(along)).where(F.col("_rank") <= most // LEAST_ENTRY + 2).drop("_rank")
     running = narrow.withColumn("until", F.sum("size").over(along)).withColumn("before", F.col("until") - F.col("size"))
     # Sizes are positive, so the entries that fit are a prefix, and the first that does not is the one that begins within the budget.
     kept = running.where((F.col("until") <= most) | ((F.col("before") <= most) & (most - F.col("before") > least_tail)))

@@ -1,7 +1,7 @@
 """Diffs: sections of files, hunks, added lines, chunks by symbol, chunks that adjoin.
 
-Diff texts are parsed by table-generating expressions (posexplode of the lines, running sums over
-the lines of one diff), so a history of any number of diffs is one scan and one shuffle.
+A diff is one row, and sections and hunks are cut out of it by array expressions, so parsing a
+history is a scan without a shuffle. Only numbering the added lines runs a window over the lines.
 """
 
 from __future__ import annotations
@@ -28,25 +28,32 @@ def header_path(line: Column) -> Column:
     return F.when(found != "", plain).otherwise(F.substring(last, 3, 1 << 30))
 
 
+def _parts(lines: Column, is_head) -> Column:
+    """The lines from each head to before the next, as an array of arrays; what precedes the first is dropped."""
+    heads = F.filter(F.transform(lines, lambda x, i: F.when(is_head(x), i)), lambda i: i.isNotNull())
+    return F.transform(heads, lambda h, j: F.slice(lines, h + 1, F.coalesce(F.get(heads, j + 1), F.size(lines)) - h))
+
+
 def file_sections(diffs: DataFrame) -> DataFrame:
     """(review_id, seq, file_path, diff_text) of diffs (review_id, raw): one section a file, the last where a path comes twice.
 
-    A `+++ ` line names the path only before the first hunk of its section.
+    A `+++ ` line names the path only before the first hunk of its section. A diff is one row and
+    is taken apart within it, so nothing is shuffled.
     """
-    rows = diffs.where("trim(raw) <> ''").select("review_id", F.posexplode(F.split("raw", "\n")).alias("pos", "line"))
-    along = Window.partitionBy("review_id").orderBy("pos")
-    rows = rows.withColumn("section", F.sum(F.col("line").startswith("diff --git ").cast("int")).over(along)).where("section > 0")
-    inside = Window.partitionBy("review_id", "section").orderBy("pos")
-    rows = rows.withColumn("hunks", F.sum(F.col("line").startswith("@@").cast("int")).over(inside))
-    named = F.when(F.col("line").startswith("+++ ") & (F.col("hunks") == 0), F.regexp_extract("line", r'^\+\+\+ "?b/(.*?)"?$', 1))
-    sections = rows.groupBy("review_id", "section").agg(
-        F.coalesce(F.nullif(F.max(named), F.lit("")), F.max(F.when(F.col("line").startswith("diff --git "), header_path(F.col("line"))))).alias("file_path"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("diff_text"),
-    )
-    last = sections.groupBy("review_id", "file_path").agg(
-        F.max_by(F.struct(F.col("section").alias("seq"), "diff_text"), F.col("section")).alias("x")
-    )
-    return last.select("review_id", F.col("x.seq").cast("int").alias("seq"), "file_path", F.col("x.diff_text").alias("diff_text"))
+
+    def section(lines: Column) -> Column:
+        hunk = F.array_position(F.transform(lines, lambda x: x.startswith("@@")), True)
+        before = F.when(hunk > 0, F.slice(lines, 1, hunk.cast("int") - 1)).otherwise(lines)
+        named = F.transform(F.filter(before, lambda x: x.startswith("+++ ")), lambda x: F.regexp_extract(x, r'^\+\+\+ "?b/(.*?)"?$', 1))
+        path = F.coalesce(F.nullif(F.get(F.filter(named, lambda x: x != ""), F.lit(0)), F.lit("")), header_path(F.get(lines, F.lit(0))))
+        return F.struct(path.alias("file_path"), F.array_join(lines, "\n").alias("diff_text"))
+
+    rows = diffs.where("trim(raw) <> ''").select("review_id", F.split("raw", "\n").alias("lines"))
+    rows = rows.select("review_id", F.transform(_parts(F.col("lines"), lambda x: x.startswith("diff --git ")), section).alias("sections"))
+    rows = rows.withColumn("paths", F.transform("sections", lambda s: s["file_path"]))
+    each = rows.select("review_id", "paths", F.posexplode("sections").alias("pos", "s"))
+    last = each.where(~F.array_contains(F.slice("paths", F.col("pos") + 2, F.size("paths")), F.col("s.file_path")))
+    return last.select("review_id", (F.col("pos") + 1).alias("seq"), "s.file_path", "s.diff_text")
 
 
 def new_lines(rows: Column) -> Column:
@@ -56,15 +63,12 @@ def new_lines(rows: Column) -> Column:
 
 def hunks(files: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, hunk, diff_text, line_start, line_end) of files (keys, diff_text); what precedes the first header is dropped."""
-    rows = files.select(*keys, F.posexplode(F.split("diff_text", "\n")).alias("pos", "line"))
-    along = Window.partitionBy(*keys).orderBy("pos")
-    rows = rows.withColumn("hunk", F.sum(F.regexp_like("line", F.lit(HUNK_HEADER)).cast("int")).over(along)).where("hunk > 0")
-    text = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
-    whole = rows.groupBy(*keys, "hunk").agg(text.alias("lines"))
+    lines = files.select(*keys, F.split("diff_text", "\n").alias("lines"))
+    each = lines.select(*keys, F.posexplode(_parts(F.col("lines"), lambda x: F.regexp_like(x, F.lit(HUNK_HEADER)))).alias("pos", "lines"))
     start = F.regexp_extract(F.element_at("lines", 1), HUNK_HEADER, 1).cast("int")
-    return whole.select(
+    return each.select(
         *keys,
-        F.col("hunk").cast("int").alias("hunk"),
+        (F.col("pos") + 1).alias("hunk"),
         F.array_join("lines", "\n").alias("diff_text"),
         start.alias("line_start"),
         (start + F.greatest(F.lit(0), new_lines(F.col("lines")) - 1)).cast("int").alias("line_end"),

@@ -109,13 +109,12 @@ def without_titles(findings: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def concatenated(*lists: DataFrame) -> DataFrame:
-    """Finding lists one after the other, with seq counted through in that order."""
+    """Finding lists one after the other: seq (a long) orders by list, then by the seq in it, without a shuffle."""
     out = None
     for n, findings in enumerate(lists):
-        part = findings.withColumn("_list", F.lit(n))
+        part = findings.withColumn("seq", F.col("seq").cast("long") + (n << 40))
         out = part if out is None else out.unionByName(part)
-    order = Window.partitionBy("review_id", "agent").orderBy("_list", "seq")
-    return out.withColumn("seq", F.row_number().over(order)).drop("_list")
+    return out
 
 
 def _window(text: Column, line: Column, first: Column) -> Column:

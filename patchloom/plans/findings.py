@@ -79,7 +79,7 @@ def title_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concatenated_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lists of critical, then high, then all other findings of a report, counted through."""
+    """The lists of critical, then high, then all other findings of a report, in that order by seq."""
     rows = distinct(spark, sf_dir)
     parts = [rows.where("severity = 'critical'"), rows.where("severity = 'high'"), rows.where("severity is null or severity not in ('critical', 'high')")]
     return ops.concatenated(*parts).select("review_id", "agent", "seq", "title")
@@ -216,8 +216,8 @@ SQL = {
           ORDER BY {WEIGHT} DESC, {PRIORITY}, agent, seq) AS INTEGER) AS position FROM f WHERE severity IS NULL OR severity <> 'info' QUALIFY position <= 100""",
     "title_antijoin": f"""WITH {F_ONE} SELECT review_id, agent, seq FROM f WHERE agent <> 'security' AND NOT EXISTS (
         SELECT 1 FROM f k WHERE k.agent = 'security' AND k.severity = 'critical' AND k.review_id = f.review_id AND k.title = f.title)""",
-    "concatenated_reports": f"""WITH {F_ONE} SELECT review_id, agent, title, CAST(row_number() OVER (PARTITION BY review_id, agent
-        ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, seq) AS INTEGER) AS seq FROM f""",
+    "concatenated_reports": f"""WITH {F_ONE} SELECT review_id, agent, title,
+        seq + (CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END * 1099511627776) AS seq FROM f""",
     "evidence_only": f"WITH {F_ONE} SELECT agent, count(*) AS n_findings FROM f WHERE trim(evidence, ' ') <> '' GROUP BY agent",
     "evidence_grounded": f"WITH {_GROUNDED} SELECT * FROM g",
     "grounded_ratio": f"WITH {_GROUNDED} SELECT review_id, round(avg(grounded::INT), 6) AS grounded_ratio FROM g GROUP BY review_id",
