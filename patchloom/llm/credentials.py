@@ -13,6 +13,7 @@ merge; repeated deliveries of a record count once; extra columns are dropped.
 
 from __future__ import annotations
 
+import base64
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -74,7 +75,7 @@ _ELEMENT = re.compile(rf"(?i)<[\w:.\-]*{_END}[^<>]*>([^<>]+)</")
 _CLAUSE = re.compile(r"(?i)\b(?:identified\s+by|password)\s+(?:=\s*)?(['\"])(.*?)\1")
 _BARE = re.compile(rf"(?i)(?P<flag>--?)?(?P<name>[A-Za-z0-9_.\-]*{_END})(?P<sep>\s*{_SEP}\s*|\s+)(?P<value>[^\s\"'`;,&<>(){{}}\[\]]+)(?P<after>.?)")
 _TUPLE = re.compile(r"(?i)\bauth\s*=\s*\(\s*([\"'])[^\"']*\1\s*,\s*([\"'])(.*?)\2")
-_HEADER = re.compile(r"(?i)\b(?:basic|bearer|token)\s+([A-Za-z0-9_\-.~+/]{8,}=*)")
+_HEADER = re.compile(r"(?i)\b(basic|bearer|token)\s+([A-Za-z0-9_\-.~+/]{8,}=*)")
 _USERINFO = re.compile(r"(?i)[a-z][a-z0-9+.\-]*://[^\s:/@\"'`]*:([^\s/@\"'`]+)@")
 _USER = re.compile(r"(?:\s-u|--user)[ =]\s*[\"']?[^\s:\"']+:([^\s\"']+)")
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -116,6 +117,18 @@ def _quoted_ok(value: str) -> bool:
     return value.count(" ") <= 7 and not value.startswith((" ", ","))
 
 
+def _sent(scheme: str, value: str) -> bool:
+    """Whether the value of a header is a secret: for Basic, one that decodes to user:password."""
+    if scheme.lower() == "basic":
+        try:
+            user, colon, secret = base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode("ascii").partition(":")
+        except ValueError:
+            return False
+        return bool(user and colon) and secret.isprintable() and not is_placeholder(secret)
+    mixed = len(value) >= 20 and not (value.islower() or value.isupper())
+    return (_random(value) or mixed) and not is_placeholder(value)
+
+
 def _bare_ok(line: str, m: re.Match) -> bool:
     value, sep, after = m["value"].rstrip("\\"), m["sep"], m["after"]
     if is_placeholder(value) or after in "([{" and after:
@@ -131,7 +144,7 @@ def _bare_ok(line: str, m: re.Match) -> bool:
         if not _LEAD.match(head):
             return _random(value) and not name_like
         if name_like and ("." in value or after in ",;" and after):
-            return _random(value) and "." not in value
+            return _random(value) and not after
         return len(value) >= 6
     if name_like and not _random(value):
         # an environment file's KEY=value, but no keyword argument and no assignment of a name
@@ -159,7 +172,7 @@ def _line_spans(line: str) -> list[tuple[int, int]]:
     out += [m.span(1) for m in _ELEMENT.finditer(line) if _quoted_ok(m[1])]
     out += [(m.start("value"), m.start("value") + len(m["value"].rstrip("\\"))) for m in _BARE.finditer(line) if _bare_ok(line, m)]
     out += [m.span(3) for m in _TUPLE.finditer(line) if not is_placeholder(m[3])]
-    out += [m.span(1) for m in _HEADER.finditer(line) if _random(m[1]) and not is_placeholder(m[1])]
+    out += [m.span(2) for m in _HEADER.finditer(line) if _sent(m[1], m[2])]
     out += [m.span(1) for p in (_USERINFO, _USER) for m in p.finditer(line) if not is_placeholder(m[1])]
     return out
 

@@ -52,9 +52,7 @@ SQL = {
         SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM kept a JOIN kept b ON a.g = b.g AND a.doc_id < b.doc_id""",
     "p8_shared_characters": f"""{_GRAMS}
         , kept AS (SELECT doc_id, pos, g FROM grams SEMI JOIN shared USING (g)),
-        fresh AS (SELECT doc_id, least(256, pos - coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), -256)) AS n FROM kept),
-        pairs AS (SELECT DISTINCT a.doc_id, b.doc_id AS other FROM (SELECT DISTINCT doc_id, g FROM kept) a
-                  JOIN (SELECT DISTINCT doc_id, g FROM kept) b ON a.g = b.g AND a.doc_id <> b.doc_id)
-        SELECT doc_id, CAST(sum(n) AS BIGINT) AS shared_chars, (SELECT count(*) FROM pairs p WHERE p.doc_id = f.doc_id) AS n_docs
+        fresh AS (SELECT doc_id, least(256, pos - coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), -256)) AS n FROM kept)
+        SELECT doc_id, CAST(sum(n) AS BIGINT) AS shared_chars
         FROM fresh f GROUP BY doc_id""",
 }

@@ -207,8 +207,9 @@ def _paths(edges: DataFrame) -> DataFrame:
     return headed.groupBy("doc", "run", "path").agg(F.max("n_docs").alias("n_docs"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
-def shared_spans(documents: DataFrame, doc_id: str, text: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_a, doc_b, doc, start, end): the stretches of doc, one of the pair, whose every min_chars-window stands in the other."""
+def _found(documents: DataFrame, doc_id: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """What the pairs of few-text paths share (doc_a, doc_b, doc, start, end), and the windows of hot paths
+    that several texts have (window, doc, pos)."""
     k = max(1, min_chars * 5 // 8)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where(F.length("text") >= min_chars)
     docs = docs.where("doc is not null")
@@ -228,30 +229,23 @@ def shared_spans(documents: DataFrame, doc_id: str, text: str, min_chars: int =
     windows = docs.join(stretches, "doc").select("doc", "text", "stretches").mapInArrow(_windows_of(k, min_chars), "window binary, doc long, pos int")
     windows = materialise(windows, "windows")
     common = windows.groupBy("window").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("window")
-    alike = windows.join(common, "window", "left_semi")
-    a = alike.select("window", F.col("doc").alias("doc_a"), F.col("pos").alias("pos_a"))
-    b = alike.select("window", F.col("doc").alias("doc_b"), F.col("pos").alias("pos_b"))
-    met = a.join(b, "window").where("doc_a < doc_b")
-    ends = F.explode(F.array(F.struct(F.col("doc_a").alias("doc"), F.col("pos_a").alias("start")), F.struct(F.col("doc_b").alias("doc"), F.col("pos_b").alias("start"))))
-    by_window = met.select("doc_a", "doc_b", ends.alias("x")).select(
-        "doc_a", "doc_b", "x.doc", "x.start", (F.col("x.start") + min_chars).alias("end")
-    )
-    return verified.unionByName(by_window)
+    return verified, windows.join(common, "window", "left_semi")
 
 
 def sharing_pairs(documents: DataFrame, doc_id: str, text: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b, of the records with a common span of min_chars characters."""
-    return shared_spans(documents, doc_id, text, min_chars).select("doc_a", "doc_b").distinct()
+    verified, alike = _found(documents, doc_id, text, min_chars)
+    members = alike.select("window", "doc").distinct()
+    met = members.withColumnRenamed("doc", "doc_a").join(members.withColumnRenamed("doc", "doc_b"), "window").where("doc_a < doc_b")
+    return verified.select("doc_a", "doc_b").unionByName(met.select("doc_a", "doc_b")).distinct()
 
 
 def shared_characters(documents: DataFrame, doc_id: str, text: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, shared_chars, n_docs): characters of each sharing record that lie in a shared span, and how many others share."""
-    spans = shared_spans(documents, doc_id, text, min_chars)
-    once = spans.select("doc", "start", "end").distinct()
+    """(doc_id, shared_chars): characters of each sharing record that lie in a shared span. Hot spans are not paired for this."""
+    verified, alike = _found(documents, doc_id, text, min_chars)
+    once = verified.select("doc", "start", "end").unionByName(alike.select("doc", F.col("pos").alias("start"), (F.col("pos") + min_chars).alias("end"))).distinct()
     order = Window.partitionBy("doc").orderBy("start", "end")
     reach = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), reach))
     chars = once.withColumn("fresh", fresh).groupBy("doc").agg(F.sum("fresh").alias("shared_chars"))
-    others = spans.select("doc", F.when(F.col("doc") == F.col("doc_a"), F.col("doc_b")).otherwise(F.col("doc_a")).alias("other")).distinct()
-    n_docs = others.groupBy("doc").agg(F.count("*").alias("n_docs"))
-    return chars.join(n_docs, "doc").select(F.col("doc").alias(doc_id), "shared_chars", "n_docs")
+    return chars.select(F.col("doc").alias(doc_id), "shared_chars")

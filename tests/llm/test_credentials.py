@@ -18,8 +18,8 @@ FOUND = [
     (f'tok = "{GH[:9]}" + "{GH[9:]}";', None), (f"tok = '{GH[:2]}' + '{GH[2:]}'", None), (f"export DB_PASSWORD={RANDOM}", RANDOM),
     (f"run --rm -e STAGE_SECRET={RANDOM} image:1.2", RANDOM), (f"tool --token={RANDOM} --n 3", RANDOM), (f"tool --password {RANDOM} --n 3", RANDOM),
     (f"GET https://h.invalid/p?a=1&sig_key={RANDOM}", RANDOM), (f"dsn = 'redis://user:{RANDOM}@host.invalid:1/db'", RANDOM),
-    (f"Server=h;User Id=u;Pwd={RANDOM};Timeout=3", RANDOM), (f"//h.invalid/:_authToken={RANDOM}", RANDOM), (f"Authorization: Basic {'dXNlcjpwYXNz' + 'd29yZDEyMw=='}", None),
-    (f"h['Authorization'] = 'Bearer {RANDOM}'", RANDOM), (f"x.get(auth=('user', '{WORD}'))", WORD), (f"curl -s -u user:{RANDOM} https://h.invalid", RANDOM),
+    (f"Server=h;User Id=u;Pwd={RANDOM};Timeout=3", RANDOM), (f"//h.invalid/:_authToken={RANDOM}", RANDOM), (f"Authorization: Basic {'dXNlcjpzcGFy' + 'cm93LWxhbXA='}", None),
+    ("Authorization: Basic " + "cmluZzpBVmtWbWdlbnhY", None), ("passwd: " + "greedy.merger8475", "greedy.merger8475"), (f"h['Authorization'] = 'Bearer {RANDOM}'", RANDOM), (f"x.get(auth=('user', '{WORD}'))", WORD), (f"curl -s -u user:{RANDOM} https://h.invalid", RANDOM),
     (f"CREATE USER u IDENTIFIED BY '{WORD}';", WORD), (f"ALTER USER u WITH PASSWORD '{WORD}';", WORD), (f"machine h login u password {RANDOM}", RANDOM),
     (f"<secret>{RANDOM}</secret>", RANDOM), (f'p.setProperty("a.passwd", "{WORD}");', WORD), (rf'raw = "{{\"n\": 1, \"password\": \"{RANDOM}\"}}"', RANDOM),
     (f'  "clientSecret": "{RANDOM}",', RANDOM), (f'signing_key = b"{HEX}"', HEX), (f"aws_secret_access_key = {RANDOM}/+{RANDOM}", None),
@@ -32,7 +32,7 @@ NONE = [
     "token_count = 5;", "# the password rule wants 12 characters and a token", "url = 'https://user:${PASS}@host.invalid/'", 'run -e API_TOKEN="$API_TOKEN" image',
     "CREATE USER u IDENTIFIED BY :db_password;", "content_hash = '" + HEX + "'", "commit " + HEX[:40], 'etag: W/"' + HEX[:32] + '"', '"integrity": "sha512-' + RANDOM * 4 + '=="',
     "request_id = '2d7a00d7-2119-45f8-a780-fc82aa1434a8'", "icon = 'data:image/png;base64," + RANDOM * 5 + "'", "ssh-rsa AAAA" + RANDOM * 3 + " u@h", "-----BEGIN PUBLIC KEY-----",
-    "-----BEGIN CERTIFICATE-----", 'logger.warn("bad token in counter");', "password: string", 'PASSWORD = "your-token-here"', "API_KEY = '<api-key>'", "", "\n",
+    "-----BEGIN CERTIFICATE-----", 'logger.warn("bad token in counter");', "password: string", "password: config.password", "Authorization: Basic <credentials>", "token: app.config2,", 'PASSWORD = "your-token-here"', "API_KEY = '<api-key>'", "", "\n",
 ]
 
 
