@@ -18,7 +18,7 @@ LEAST_ENTRY = 28
 def fitting_chunks(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     """(review_id, chunk_id, kept): which chunks of each review fit its limit.
 
-    chunks: review_id, chunk_id, file_path, diff_text; limits: review_id, max_tokens. A review
+    chunks: review_id, chunk_id, file_path, diff_text, repeats allowed; limits: review_id, max_tokens. A review
     within its limit keeps all. Otherwise the largest chunk of each file is seated in the order
     of files (by least chunk_id), if it fits, then the rest by size, skipping what does not fit.
 
@@ -28,6 +28,7 @@ def fitting_chunks(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     many chunks it has; the first round folds one cost a file.
     """
     sized = chunks.select("review_id", "chunk_id", "file_path", tokens(F.col("diff_text")).alias("cost"), F.length("diff_text").alias("size"))
+    sized = sized.dropDuplicates(["review_id", "chunk_id"])
     sized = sized.join(limits.select("review_id", F.coalesce("max_tokens", F.lit(MAX_TOKENS)).cast("long").alias("budget")), "review_id", "left")
     sized = sized.withColumn("budget", F.coalesce("budget", F.lit(MAX_TOKENS).cast("long")))
     totals = sized.groupBy("review_id").agg(F.sum("cost").alias("total"))
@@ -76,7 +77,8 @@ def fitting_chunks(chunks: DataFrame, limits: DataFrame) -> DataFrame:
 def pruned_list(chunks: DataFrame, kept: DataFrame) -> DataFrame:
     """(review_id, chunk_id, pruned): the places of the chunks that did not fit."""
     place = F.concat("file_path", F.lit(":"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"))
-    return chunks.join(kept.where("not kept"), ["review_id", "chunk_id"]).select("review_id", "chunk_id", place.alias("pruned"))
+    places = chunks.select("review_id", "chunk_id", place.alias("pruned")).distinct()
+    return places.join(kept.where("not kept").drop("kept"), ["review_id", "chunk_id"])
 
 
 def context_prefix(chunks: DataFrame, most: int = CONTEXT_CHARS, least_tail: int = LEAST_TAIL) -> DataFrame:
@@ -111,8 +113,9 @@ def bounded_sources(sources: DataFrame, changed: DataFrame, most: int = SOURCE_C
 
 
 def token_totals(chunks: DataFrame) -> DataFrame:
-    """(review_id, n_tokens, n_chunks)."""
-    return chunks.groupBy("review_id").agg(F.sum(tokens(F.col("diff_text"))).alias("n_tokens"), F.count("*").alias("n_chunks"))
+    """(review_id, n_tokens, n_chunks), repeated chunks once; only their sizes are shuffled."""
+    sized = chunks.select("review_id", "chunk_id", tokens(F.col("diff_text")).alias("cost")).dropDuplicates(["review_id", "chunk_id"])
+    return sized.groupBy("review_id").agg(F.sum("cost").alias("n_tokens"), F.count("*").alias("n_chunks"))
 
 
 def full_diff(files: DataFrame, order: str) -> DataFrame:

@@ -13,6 +13,11 @@ from ..operators.models import summarised
 from ..sources.tables import table
 
 
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as delivered, repeats and all: for operators that reduce a chunk before they tell repeats."""
+    return table(spark, sf_dir, "diff_chunks")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "diff_chunks").dropDuplicates(["chunk_id"])
 
@@ -23,7 +28,8 @@ def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hunks(chunks(spark, sf_dir), ["chunk_id"]).select("chunk_id", "hunk", "line_start", "line_end", F.length("diff_text").alias("n_chars"))
+    rows = hunks(deliveries(spark, sf_dir), ["chunk_id"])
+    return rows.select("chunk_id", "hunk", "line_start", "line_end", F.length("diff_text").alias("n_chars")).distinct()
 
 
 def diff_added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,16 +41,17 @@ def diff_added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _raw_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chunk as the one-file diff of a review of its own."""
     head = F.concat(F.lit("diff --git a/"), F.col("file_path"), F.lit(" b/"), F.col("file_path"), F.lit("\n+++ b/"), F.col("file_path"), F.lit("\n"))
-    return chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("review_id"), F.concat(head, F.coalesce("diff_text", F.lit(""))).alias("raw"))
+    return deliveries(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("review_id"), F.concat(head, F.coalesce("diff_text", F.lit(""))).alias("raw"))
 
 
 def diff_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk written as a raw diff of two files and taken apart again."""
     raw = _raw_diffs(spark, sf_dir)
+    # A diff is one row, so repeats need only be told at the end.
     other = F.lit('\ndiff --git "a/docs/read me.md" "b/docs/read me.md"\nBinary files differ')
     return file_sections(raw.withColumn("raw", F.concat("raw", other))).select(
         "review_id", "seq", "file_path", F.sha2("diff_text", 256).alias("diff_hash")
-    )
+    ).distinct()
 
 
 def diff_header_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,24 +77,24 @@ def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def large_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).where(F.length("diff_text") > LARGE_DIFF).select("chunk_id", F.length("diff_text").alias("n_chars"))
+    return deliveries(spark, sf_dir).where(F.length("diff_text") > LARGE_DIFF).select("chunk_id", F.length("diff_text").alias("n_chars")).distinct()
 
 
 def summarised_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = summarised(chunks(spark, sf_dir).where("diff_text is not null"), None)
-    return rows.select("chunk_id", F.length("diff_text").alias("n_chars"))
+    rows = summarised(deliveries(spark, sf_dir).where("diff_text is not null"), None)
+    return rows.select("chunk_id", F.length("diff_text").alias("n_chars")).distinct()
 
 
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return budget.token_totals(chunks(spark, sf_dir))
+    return budget.token_totals(deliveries(spark, sf_dir))
 
 
 def budget_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return budget.fitting_chunks(chunks(spark, sf_dir), limits(spark, sf_dir))
+    return budget.fitting_chunks(deliveries(spark, sf_dir), limits(spark, sf_dir))
 
 
 def pruned_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir)
+    rows = deliveries(spark, sf_dir)
     return budget.pruned_list(rows, budget.fitting_chunks(rows, limits(spark, sf_dir)))
 
 

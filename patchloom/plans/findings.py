@@ -17,21 +17,35 @@ def distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.distinct_findings(table(spark, sf_dir, "findings"))
 
 
+#: What choosing among findings reads; titles, texts and evidence stay out of its shuffles.
+PLACED = ["review_id", "agent", "seq", "category", "severity", "file_path", "line_start", "confidence"]
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.distinct_findings(table(spark, sf_dir, "findings").select(PLACED))
+
+
+def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings that an orchestrator keeps, narrow: of one place the first by agent, at most 100 a report."""
+    return ops.throttled(ops.first_by_agent(placed(spark, sf_dir)))
+
+
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings as an orchestrator sees them: of one place the first by agent, at most 100 a report."""
-    return ops.throttled(ops.first_by_agent(distinct(spark, sf_dir)))
+    """The kept findings with all their columns."""
+    keys = ["review_id", "agent", "seq"]
+    return distinct(spark, sf_dir).join(chosen(spark, sf_dir).select(keys), keys, "left_semi")
 
 
 def dedupe_best_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.best_per_place(distinct(spark, sf_dir)).select("review_id", "agent", "seq")
+    return ops.best_per_place(placed(spark, sf_dir)).select("review_id", "agent", "seq")
 
 
 def dedupe_by_agent_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.first_by_agent(distinct(spark, sf_dir)).select("review_id", "agent", "seq")
+    return ops.first_by_agent(placed(spark, sf_dir)).select("review_id", "agent", "seq")
 
 
 def throttle_per_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.throttled(distinct(spark, sf_dir)).select("review_id", "agent", "seq")
+    return ops.throttled(placed(spark, sf_dir)).select("review_id", "agent", "seq")
 
 
 def suppressed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +58,7 @@ def overall_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merged_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict of every review over its merged findings."""
-    return verdict.verdicts(merged(spark, sf_dir))
+    return verdict.verdicts(chosen(spark, sf_dir))
 
 
 def degraded_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +150,7 @@ def parsed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review_json(verdict.verdicts(merged(spark, sf_dir)), merged(spark, sf_dir))
+    return review_json(verdict.verdicts(chosen(spark, sf_dir)), merged(spark, sf_dir))
 
 
 QUERIES = {

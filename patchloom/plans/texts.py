@@ -11,21 +11,22 @@ from ..sources.tables import table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").dropDuplicates(["doc_id"])
+    """Documents as delivered; what is derived from a text is what repeats are told by, so texts are not shuffled."""
+    return table(spark, sf_dir, "documents")
 
 
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+    return documents(spark, sf_dir).select("doc_id", text.content_hash(F.col("text")).alias("content_hash")).distinct()
 
 
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("kind", text.tokens(F.col("text")).alias("n"))
+    rows = documents(spark, sf_dir).select("doc_id", "kind", text.tokens(F.col("text")).alias("n")).dropDuplicates(["doc_id"])
     return rows.groupBy("kind").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_documents"))
 
 
 def used_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage by source: reported for the texts whose n_chars is known, else estimated."""
-    rows = documents(spark, sf_dir).select(
+    rows = documents(spark, sf_dir).dropDuplicates(["doc_id"]).select(
         F.col("source").alias("review_id"), F.col("kind").alias("agent"), F.col("text").alias("answer"), F.col("n_chars").alias("input_tokens"),
         F.when(F.col("n_chars").isNotNull(), 10).alias("output_tokens"),
     )
@@ -33,26 +34,26 @@ def used_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown_to_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.sha2(text.plain_text(F.col("text")), 256).alias("plain_hash"))
+    return documents(spark, sf_dir).select("doc_id", F.sha2(text.plain_text(F.col("text")), 256).alias("plain_hash")).distinct()
 
 
 def without_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     fenced = F.concat(F.lit("```text\n"), F.col("text"), F.lit("\n```"))
-    return documents(spark, sf_dir).select("doc_id", F.sha2(text.without_fence(fenced), 256).alias("body_hash"))
+    return documents(spark, sf_dir).select("doc_id", F.sha2(text.without_fence(fenced), 256).alias("body_hash")).distinct()
 
 
 def truncated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", text.truncated(F.col("text"), 8000).alias("t"))
-    return rows.select("doc_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("hash"))
+    return rows.select("doc_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("hash")).distinct()
 
 
 def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).where("text is not null").select("doc_id", F.size(text.lines(F.col("text"))).alias("n_lines"))
+    return documents(spark, sf_dir).where("text is not null").select("doc_id", F.size(text.lines(F.col("text"))).alias("n_lines")).distinct()
 
 
 def kind_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of documents with a known language, by kind, as a ratio and for display."""
-    rows = documents(spark, sf_dir).groupBy("kind").agg(F.count("lang").alias("known"), F.count("*").alias("n"))
+    rows = documents(spark, sf_dir).select("doc_id", "kind", "lang").dropDuplicates(["doc_id"]).groupBy("kind").agg(F.count("lang").alias("known"), F.count("*").alias("n"))
     share = text.ratio(F.col("known"), F.col("n"))
     return rows.select(text.title_case(F.col("kind")).alias("kind"), F.round(share, 6).alias("share"), text.percentage(share).alias("shown"))
 
@@ -64,7 +65,7 @@ def stub_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, words in prompts.items():
         head = F.when(F.col("doc_id") % 4 == n, words).otherwise(head)
     rows = documents(spark, sf_dir).select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("prompt"))
-    return rows.select("doc_id", stub_answer(F.col("prompt")).alias("answer"))
+    return rows.select("doc_id", stub_answer(F.col("prompt")).alias("answer")).distinct()
 
 
 def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         return client
 
     rows = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("prompt"))
-    return answered(rows, make_client).select("doc_id", "answer", "error")
+    return answered(rows, make_client).select("doc_id", "answer", "error").distinct()
 
 
 QUERIES = {
