@@ -8,7 +8,9 @@ over narrow candidate rows; the counts and ratios around it are plain aggregates
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,21 +56,36 @@ def candidates(labels: DataFrame, findings: DataFrame) -> DataFrame:
     return pairs.select(*keys, "label_seq", "finding", "label_weight", "weight", exact.alias("off_line"), distance.alias("distance"))
 
 
-def assigned(pairs: DataFrame) -> DataFrame:
-    """(scenario_id, label_seq, finding, label_weight, weight): labels gravest first, each with its nearest finding that is still free."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["label_weight", "label_seq", "off_line", "distance", "weight", "finding"], ascending=[False, True, True, True, False, True])
-        used, labelled, keep = set(), set(), []
-        for i, (label, finding) in enumerate(zip(rows["label_seq"], rows["finding"])):
-            if label not in labelled and finding not in used:
-                labelled.add(label)
-                used.add(finding)
+_PAIR = pa.schema([("scenario_id", pa.string()), ("label_seq", pa.int64()), ("finding", pa.int64()), ("label_weight", pa.int32()), ("weight", pa.int32())])
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    group, label, taken, used = None, None, False, set()
+    for batch in batches:
+        keep = []
+        for i, row in enumerate(zip(*(batch[c].to_pylist() for c in ("scenario_id", "agent", "category", "label_seq", "finding")))):
+            if row[:3] != group:
+                group, label, used = row[:3], None, set()
+            if row[3] != label:
+                label, taken = row[3], False
+            if not taken and row[4] not in used:
+                taken = True
+                used.add(row[4])
                 keep.append(i)
-        return rows.iloc[keep][["scenario_id", "label_seq", "finding", "label_weight", "weight"]]
+        if keep:
+            yield batch.take(pa.array(keep, pa.int64())).select(_PAIR.names).cast(_PAIR)
 
-    schema = "scenario_id string, label_seq long, finding long, label_weight int, weight int"
-    return pairs.groupBy("scenario_id", "agent", "category").applyInPandas(fold, schema)
+
+def assigned(pairs: DataFrame) -> DataFrame:
+    """(scenario_id, label_seq, finding, label_weight, weight): labels gravest first, each with its nearest finding that is still free.
+
+    Candidates lie sorted in their partition and are folded as they pass; what is held is the set
+    of findings taken in one group.
+    """
+    group = ["scenario_id", "agent", "category"]
+    nearest = [F.col("off_line"), F.col("distance"), F.col("weight").desc(), F.col("finding")]
+    rows = pairs.repartition(*group).sortWithinPartitions(*group, F.col("label_weight").desc(), "label_seq", *nearest)
+    return rows.mapInArrow(_fold, "scenario_id string, label_seq long, finding long, label_weight int, weight int")
 
 
 def scenario_scores(labels: DataFrame, findings: DataFrame, pairs: DataFrame) -> DataFrame:

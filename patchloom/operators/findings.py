@@ -172,20 +172,23 @@ def grounded(findings: DataFrame, texts: DataFrame) -> DataFrame:
     """(review_id, agent, seq, grounded): whether a line of the evidence stands verbatim in a text of the review.
 
     texts: review_id, text and file_path, which is null for texts that hold for the whole review.
-    A line stands in a text only within one line of it, and its longest word with a neighbour on
-    both sides stands there as a word. So evidence lines and text lines meet on (review, word)
-    and not all against all; lines without such a word meet on the review alone.
+    Where a line stands in a text, its longest word with a neighbour on both sides is a word of the
+    text. So lines and texts meet on (review, word), over narrow rows, and only then is the text
+    joined to look for the line; lines without such a word meet the texts of their review.
     """
     asked = findings.select("review_id", "agent", "seq", "file_path", F.explode(lines(F.col("evidence"))).alias("line"))
-    asked = asked.where("file_path <> ''").withColumn("line", plain_line(F.trim("line"))).where("line <> ''")
+    asked = asked.where("file_path <> ''").withColumn("line", plain_line(F.trim("line"))).where("line <> ''").distinct()
     inner = F.regexp_extract_all("line", F.lit(r"(?<=\W)\w+(?=\W)"), F.lit(0))
     longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)
     asked = asked.withColumn("word", F.when(F.size(inner) > 0, longest["w"]))
-    rows = texts.select("review_id", F.col("file_path").alias("t_path"), F.explode(lines(F.col("text"))).alias("t_line")).distinct()
-    words = rows.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("t_line", F.lit(r"\w+"), F.lit(0)))))
-    stands = F.contains("t_line", "line") & (F.col("t_path").isNull() | (F.col("t_path") == F.col("file_path")))
-    keyed = asked.where("word is not null").join(words, ["review_id", "word"]).where(stands).select("review_id", "agent", "seq")
-    short = asked.where("word is null").join(rows, "review_id").where(stands).select("review_id", "agent", "seq")
-    hits = keyed.unionByName(short).distinct().withColumn("grounded", F.lit(True))
+    held = texts.where("text <> ''").select("review_id", F.col("file_path").alias("t_path"), "text", F.xxhash64("review_id", "file_path", "text").alias("t_id"))
+    words = held.select("review_id", "t_path", "t_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("word"))
+    there = F.col("t_path").isNull() | (F.col("t_path") == F.col("file_path"))
+    keyed = asked.where("word is not null").join(words, ["review_id", "word"]).where(there)
+    short = asked.where("word is null").join(held.drop("text"), "review_id").where(there)
+    columns = ["review_id", "agent", "seq", "line", "t_id"]
+    candidates = keyed.select(columns).unionByName(short.select(columns))
+    met = candidates.join(held.select("review_id", "t_id", "text"), ["review_id", "t_id"]).where(F.contains("text", "line"))
+    hits = met.select("review_id", "agent", "seq").distinct().withColumn("grounded", F.lit(True))
     every = findings.select("review_id", "agent", "seq").distinct()
     return every.join(hits, ["review_id", "agent", "seq"], "left").withColumn("grounded", F.coalesce("grounded", F.lit(False)))
