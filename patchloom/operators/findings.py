@@ -27,26 +27,27 @@ def distinct_findings(findings: DataFrame) -> DataFrame:
     return findings.dropDuplicates(["review_id", "agent", "seq"])
 
 
-def _best(findings: DataFrame, keys: list[Column], order: Column) -> DataFrame:
-    """The row of greatest order for each key, with the schema of findings."""
+def _best(findings: DataFrame, scope: list[str], order: Column) -> DataFrame:
+    """The row of greatest order for each scope, category, path and line; a row without a place is alone with its key.
+
+    One aggregate for both, so findings are read and shuffled once.
+    """
+    located = F.coalesce(F.expr(LOCATED), F.lit(False))
+    place = F.when(located, F.struct("category", path_key(F.col("file_path")).alias("path"), "line_start"))
+    alone = F.when(~located, F.struct("agent", "seq"))
     row = F.struct(*[F.col(c) for c in findings.columns])
-    names = [f"_k{i}" for i in range(len(keys))]
-    picked = findings.groupBy(*[k.alias(n) for k, n in zip(keys, names)]).agg(F.max_by(row, order).alias("_row"))
+    picked = findings.groupBy(*[F.col(c).alias(f"_{c}") for c in scope], place.alias("_place"), alone.alias("_alone")).agg(F.max_by(row, order).alias("_row"))
     return picked.select("_row.*")
 
 
 def best_per_place(findings: DataFrame) -> DataFrame:
     """Of the findings of a report on one category, path and line the gravest, then surest, then latest; unlocated ones stay."""
-    keys = [F.col("review_id"), F.col("agent"), F.col("category"), path_key(F.col("file_path")), F.col("line_start")]
-    order = F.struct(severity_weight(F.col("severity")), F.col("confidence"), F.col("seq"))
-    return _best(findings.where(LOCATED), keys, order).unionByName(findings.where(f"not coalesce({LOCATED}, false)"))
+    return _best(findings, ["review_id", "agent"], F.struct(severity_weight(F.col("severity")), F.col("confidence"), F.col("seq")))
 
 
 def first_by_agent(findings: DataFrame) -> DataFrame:
     """Of the findings of all agents on one category, path and line the first by agent priority, then seq; unlocated ones stay."""
-    keys = [F.col("review_id"), F.col("category"), path_key(F.col("file_path")), F.col("line_start")]
-    order = F.struct(-agent_priority(F.col("agent")), -F.col("seq"))
-    return _best(findings.where(LOCATED), keys, order).unionByName(findings.where(f"not coalesce({LOCATED}, false)"))
+    return _best(findings, ["review_id"], F.struct(-agent_priority(F.col("agent")), -F.col("seq")))
 
 
 def throttled(findings: DataFrame, cap: int = CAP_PER_AGENT) -> DataFrame:

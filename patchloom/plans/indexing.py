@@ -113,8 +113,8 @@ def existence_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def point_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries of one path in all snapshots of one repository."""
-    rows = files(spark, sf_dir).where("repo_path = '/srv/repos/orchard-mono' and rel_path like 'src/%'")
-    return rows.select("entry_id", "git_hash", "rel_path", "content_hash")
+    rows = table(spark, sf_dir, "file_entries").where("repo_path = '/srv/repos/orchard-mono' and rel_path like 'src/%'")
+    return rows.select("entry_id", "git_hash", "rel_path", "content_hash").dropDuplicates(["entry_id"])
 
 
 def enclosing_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ def enclosing_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def callers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.callers_of(edges(spark, sf_dir), "join").select("edge_id")
+    return graph.callers_of(table(spark, sf_dir, "call_edges"), "join").select("edge_id").distinct()
 
 
 def reverse_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +164,9 @@ def symbol_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edges_of_file(edges(spark, sf_dir), "src/api/noisy_segment.ts").select("edge_id")
+    path = "src/api/noisy_segment.ts"
+    rows = table(spark, sf_dir, "call_edges").where((F.col("caller_path") == path) | (F.col("callee_path") == path)).dropDuplicates(["edge_id"])
+    return graph.edges_of_file(rows, path).select("edge_id")
 
 
 QUERIES = {
