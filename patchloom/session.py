@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +51,20 @@ def clear_materialised(spark: SparkSession) -> None:
     """Delete what materialise() has written; call when no query that read it is running."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/patchloom")
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once an application, unless they are local and find it where the driver does."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parent
+    found = [Path(p or ".").resolve() for p in ["", *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    if context.applicationId in _SHIPPED or context.master.startswith("local") and package.parent in found:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="patchloom-")) / "patchloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
