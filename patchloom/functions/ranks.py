@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Fixed values.
 SEVERITY_WEIGHT = {"critical": 4, "high": 3, "medium": 2, "low": 1, "info": 0}
 RECOMMENDATION_RANK = {"approve": 0, "request_changes": 1, "block": 2}
-AGENT_PRIORITY = {"security": 0, "code_quality": 1, "test": 2, "index": 3, "codey": 4}
+AGENT_PRIORITY = {"security": 0, "code_quality": 1, "test": 2, "index": 3}
+#: An orchestrator of its own, and every other agent, comes after the detectors.
 OTHER_AGENT = 99
 
 

@@ -27,8 +27,8 @@ def distinct_findings(findings: DataFrame) -> DataFrame:
     return findings.dropDuplicates(["review_id", "agent", "seq"])
 
 
-def _best(findings: DataFrame, scope: list[str], order: Column) -> DataFrame:
-    """The row of greatest order for each scope, category, path and line; a row without a place is alone with its key.
+def _best(findings: DataFrame, scope: list[str], pick) -> DataFrame:
+    """The row that pick (an aggregate of the row) chooses for each scope, category, path and line; a row without a place is alone with its key.
 
     One aggregate for both, so findings are read and shuffled once.
     """
@@ -36,18 +36,20 @@ def _best(findings: DataFrame, scope: list[str], order: Column) -> DataFrame:
     place = F.when(located, F.struct("category", path_key(F.col("file_path")).alias("path"), "line_start"))
     alone = F.when(~located, F.struct("agent", "seq"))
     row = F.struct(*[F.col(c) for c in findings.columns])
-    picked = findings.groupBy(*[F.col(c).alias(f"_{c}") for c in scope], place.alias("_place"), alone.alias("_alone")).agg(F.max_by(row, order).alias("_row"))
+    picked = findings.groupBy(*[F.col(c).alias(f"_{c}") for c in scope], place.alias("_place"), alone.alias("_alone")).agg(pick(row).alias("_row"))
     return picked.select("_row.*")
 
 
 def best_per_place(findings: DataFrame) -> DataFrame:
     """Of the findings of a report on one category, path and line the gravest, then surest, then latest; unlocated ones stay."""
-    return _best(findings, ["review_id", "agent"], F.struct(severity_weight(F.col("severity")), F.col("confidence"), F.col("seq")))
+    order = F.struct(severity_weight(F.col("severity")), F.col("confidence"), F.col("seq"))
+    return _best(findings, ["review_id", "agent"], lambda row: F.max_by(row, order))
 
 
 def first_by_agent(findings: DataFrame) -> DataFrame:
-    """Of the findings of all agents on one category, path and line the first by agent priority, then seq; unlocated ones stay."""
-    return _best(findings, ["review_id"], F.struct(-agent_priority(F.col("agent")), -F.col("seq")))
+    """Of the findings of all agents on one category, path and line the first by agent priority, seq and name; unlocated ones stay."""
+    order = F.struct(agent_priority(F.col("agent")), F.col("seq"), F.col("agent"))
+    return _best(findings, ["review_id"], lambda row: F.min_by(row, order))
 
 
 def throttled(findings: DataFrame, cap: int = CAP_PER_AGENT) -> DataFrame:

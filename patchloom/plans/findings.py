@@ -164,11 +164,11 @@ QUERIES = {
 
 F_ONE = "f AS (SELECT DISTINCT ON (review_id, agent, seq) * FROM findings)"
 WEIGHT = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
-PRIORITY = "CASE agent WHEN 'security' THEN 0 WHEN 'code_quality' THEN 1 WHEN 'test' THEN 2 WHEN 'index' THEN 3 WHEN 'codey' THEN 4 ELSE 99 END"
+PRIORITY = "CASE agent WHEN 'security' THEN 0 WHEN 'code_quality' THEN 1 WHEN 'test' THEN 2 WHEN 'index' THEN 3 ELSE 99 END"
 LOCATED = "coalesce(file_path <> '' AND line_start IS NOT NULL, false)"
 KEY = r"regexp_replace(file_path, '^[./]+', '')"
 _BY_AGENT = f"""by_agent AS (
-  SELECT * FROM f WHERE {LOCATED} QUALIFY row_number() OVER (PARTITION BY review_id, category, {KEY}, line_start ORDER BY {PRIORITY}, seq) = 1
+  SELECT * FROM f WHERE {LOCATED} QUALIFY row_number() OVER (PARTITION BY review_id, category, {KEY}, line_start ORDER BY {PRIORITY}, seq, agent) = 1
   UNION ALL SELECT * FROM f WHERE NOT {LOCATED})"""
 _RANKED = f"row_number() OVER (PARTITION BY review_id, agent ORDER BY {WEIGHT} DESC, confidence DESC NULLS LAST, seq)"
 _SEVERITY = f"CASE max({WEIGHT}) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END"
