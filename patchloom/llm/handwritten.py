@@ -2,13 +2,14 @@
 
 1. The head of every distinct content becomes tokens with identifiers, numbers and strings masked
    (words of comments stay), and those become shingles of five.
-2. MinHash banding puts contents with similar shingles in buckets; in each bucket every content is
-   held against the bucket's least one, so a bucket of any size gives one pair a member. One bit
-   of each of SIGNATURE MinHash values travels along: pairs whose bits differ by more than five
-   standard deviations above what a similarity of 0.8 gives end there, and the shared masked and
-   plain shingles themselves verify the rest.
-3. Families are read by what they have in common. A family within one repository under several
-   names indicates generation; plain near-copies in several repositories indicate vendoring; a
+2. Contents with equal shingles become one set. MinHash banding puts similar sets in buckets, by
+   plain shingles over all contents and by masked ones within each repository and snapshot, and
+   every two sets of a bucket are held against each other. Pairs whose bits, one of each of
+   SIGNATURE MinHash values, differ by more than five standard deviations above what a similarity
+   of 0.8 gives end there; the shared shingles themselves verify the rest.
+3. Families are what these links connect, and are read by what they have in common. A masked family
+   of a snapshot under several names indicates generation; it is connected by files of that snapshot
+   only, as links over a whole corpus chain thousands of contents. Plain near-copies in several repositories indicate vendoring; a
    family of nothing but literals, with the size of data, is a blob. What one content states (a
    banner, minified layout, literals alone) holds for its whole family of plain near-copies, save
    those that say they are kept by hand; every content is at least a family of its own.
@@ -24,6 +25,7 @@ identifier; empty tables give none; extra columns are dropped.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -189,10 +191,18 @@ def shingles(words: list[str]) -> np.ndarray:
 
 def signature(hashes: np.ndarray) -> tuple[list[int], list[int]]:
     """Band keys, and one bit of each MinHash value in SIGNATURE/64 words."""
-    least = (hashes[:, None] * _ODD + _ADD).min(axis=0) >> np.uint64(20)
-    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS)
+    least = _least(hashes, SIGNATURE)
     words = np.packbits((least & np.uint64(1)).astype(np.uint8)).view(np.int64)
-    return [zlib.crc32(row.tobytes(), b) << 8 | b for b, row in enumerate(rows)], words.tolist()
+    return band_keys(least), words.tolist()
+
+
+def _least(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (hashes[:, None] * _ODD[:n] + _ADD[:n]).min(axis=0) >> np.uint64(20)
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS)
+    return [zlib.crc32(row.tobytes(), b) << 8 | b for b, row in enumerate(rows)]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -238,13 +248,15 @@ def layout(head: str, masked: list[str]) -> str | None:
 
 
 @lru_cache(maxsize=4096)
-def _masked(head: str) -> tuple[np.ndarray, list[str]]:
+def _shingled(head: str) -> tuple[np.ndarray, np.ndarray]:
+    """Plain and masked shingles."""
     masked, plain = tokens(head)
-    return shingles(masked), plain
+    return shingles(plain), shingles(masked)
 
 
 _HEADS = pa.schema(
-    [("content", pa.binary()), ("told", pa.string()), ("look", pa.string()), ("n_lines", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))]
+    [("content", pa.binary()), ("told", pa.string()), ("look", pa.string()), ("n_lines", pa.int64())]
+    + [(f"{by}_{c}", t) for by in ("plain", "masked") for c, t in (("set", pa.binary()), ("bands", pa.list_(pa.int64())))]
 )
 
 
@@ -252,28 +264,35 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for content, lines, head in zip(batch["content"].to_pylist(), batch["n_lines"].to_pylist(), texts(batch["head"])):
-            masked, _ = tokens(head)
+            masked, plain = tokens(head)
             hashes = shingles(masked)
-            in_bands, bits = signature(hashes) if len(hashes) >= LEAST_SHINGLES else ([], [])
-            rows.append((content, banner(head), layout(head, masked), lines, in_bands, bits))
+            row = [content, banner(head), layout(head, masked), lines]
+            for own in (shingles(plain), hashes):
+                row += [hashlib.md5(own).digest(), band_keys(_least(own, BANDS * ROWS))] if len(hashes) >= LEAST_SHINGLES and len(own) else [None, None]
+            rows.append(tuple(row))
         yield batch_of(_HEADS, rows)
 
 
-_PAIRS = pa.schema([("content", pa.binary()), ("other", pa.binary()), ("alike_masked", pa.float64()), ("alike_plain", pa.float64())])
+_SIGNED = pa.schema([("masked", pa.bool_()), ("like", pa.binary()), ("head", pa.string()), *((f"w{i}", pa.int64()) for i in range(SIGNATURE // 64))])
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = batch["masked"].to_pylist(), batch["like"].to_pylist(), texts(batch["head"])
+        yield batch_of(_SIGNED, [(masked, like, head, *signature(_shingled(head)[masked])[1]) for masked, like, head in zip(*columns)])
+
+
+_LINKS = pa.schema([("masked", pa.bool_()), ("content", pa.binary()), ("other", pa.binary())])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for a, b, x, y in zip(batch["content"].to_pylist(), batch["other"].to_pylist(), texts(batch["head"]), texts(batch["other_head"])):
-            (mx, px), (my, py) = _masked(x), _masked(y)
-            if min(len(mx), len(my)) < SIMILARITY * max(len(mx), len(my)):
-                continue
-            alike = similarity(mx, my)
-            if alike >= SIMILARITY:
-                rows.append((a, b, alike, similarity(shingles(px), shingles(py))))
+        for masked, a, b, x, y in zip(*(batch[c].to_pylist() for c in _LINKS.names), texts(batch["head"]), texts(batch["other_head"])):
+            if similarity(*(_shingled(head)[masked] for head in (x, y))) >= SIMILARITY:
+                rows.append((masked, a, b))
         if rows:
-            yield batch_of(_PAIRS, rows)
+            yield batch_of(_LINKS, rows)
 
 
 def _families(pairs: DataFrame) -> DataFrame:
@@ -296,39 +315,75 @@ def _matches(column: str, pattern: str) -> Column:
     return F.coalesce(F.col(column).rlike("(?i)" + pattern), F.lit(False))
 
 
+def _sets(read: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """(content, like) with the least content of the same shingles, and (like, bands) of each such one."""
+    own = read.where(F.col(f"{by}_set").isNotNull()).select("content", F.col(f"{by}_set").alias("set"), F.col(f"{by}_bands").alias("bands"))
+    one = own.groupBy("set").agg(F.min(F.struct("content", "bands")).alias("x")).select("set", F.col("x.content").alias("like"), "x.bands")
+    return own.select("content", "set").join(one.select("set", "like"), "set").select("content", "like").distinct(), one.select("like", "bands")
+
+
+def _links(banded: DataFrame, known: DataFrame) -> DataFrame:
+    """(masked, content, other) of every two sets in a bucket of banded (masked, bucket, like) that are similar."""
+    # Most buckets hold one set; they end here, and only the other sets are signed.
+    n = F.count("*").over(Window.partitionBy("masked", "bucket"))
+    shared = materialise(banded.withColumn("n", n).where("n > 1").select("masked", "bucket", "like"), "buckets")
+    heads = known.withColumnRenamed("content", "like").join(shared.select("masked", "like").distinct(), "like")
+    heads = heads.groupBy("masked", "like").agg(F.min("head").alias("head"))
+    words = [f"w{i}" for i in range(SIGNATURE // 64)]
+    signed = materialise(heads.mapInArrow(_sign, f"masked boolean, like binary, head string, {', '.join(f'{w} long' for w in words)}"), "signed")
+    left = shared.join(signed.drop("head"), ["masked", "like"])
+    right = left.select("masked", "bucket", *[F.col(c).alias(f"other_{c}") for c in ("like", *words)])
+    differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"other_{w}"))) for w in words), F.lit(0))
+    met = left.join(right, ["masked", "bucket"]).where((F.col("like") < F.col("other_like")) & (differing <= MOST_DIFFERING_BITS))
+    pairs = met.select("masked", F.col("like").alias("content"), F.col("other_like").alias("other")).distinct()
+    one, two = (signed.select("masked", F.col("like").alias(c), F.col("head").alias(h)) for c, h in (("content", "head"), ("other", "other_head")))
+    with_heads = pairs.join(one, ["masked", "content"]).join(two, ["masked", "other"]).select("masked", "content", "other", "head", "other_head")
+    return materialise(with_heads.mapInArrow(_verify, "masked boolean, content binary, other binary"), "verified")
+
+
 def families(files: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(content evidence, its plain families, verified pairs) of heads; contents are 16-byte digests of content_hash."""
+    """Content evidence, plain families (content, family) of several contents, and masked ones (content, snapshot, family).
+
+    files has (content, snapshot); contents are 16-byte digests of content_hash.
+    """
     known = heads.where("content_hash is not null and head <> ''").select(
         F.unhex(F.md5("content_hash")).alias("content"), F.col("line_count").cast("long").alias("n_lines"), "head"
     )
-    schema = "content binary, told string, look string, n_lines long, bands array<long>, bits array<long>"
-    read = materialise(known.mapInArrow(_read, schema), "heads")
-    words = [F.col("bits")[i].alias(f"w{i}") for i in range(SIGNATURE // 64)]
-    banded = read.select("content", F.explode("bands").alias("band"), *words)
-    buckets = banded.groupBy("band").agg(F.min(F.struct(*banded.drop("band").columns)).alias("other"), F.max("content").alias("last"))
-    met = banded.join(buckets.where("other.content < last"), "band").where("content <> other.content")
-    differing = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"other.w{i}"))) for i in range(SIGNATURE // 64)), F.lit(0))
-    pairs = met.where(differing <= MOST_DIFFERING_BITS).select("content", F.col("other.content").alias("other")).distinct()
-    with_heads = pairs.join(known.select("content", "head"), "content").join(
-        known.select(F.col("content").alias("other"), F.col("head").alias("other_head")), "other"
-    )
-    verified = materialise(
-        with_heads.select("content", "other", "head", "other_head").mapInArrow(
-            _verify, "content binary, other binary, alike_masked double, alike_plain double"
-        ),
-        "verified",
-    )
+    lists = ", ".join(f"{by}_set binary, {by}_bands array<long>" for by in ("plain", "masked"))
+    read = materialise(known.mapInArrow(_read, f"content binary, told string, look string, n_lines long, {lists}"), "heads")
+    plain, plain_sets = _sets(read, "plain")
+    masked, masked_sets = _sets(read, "masked")
+    in_plain = plain_sets.select(F.lit(False).alias("masked"), F.explode("bands").alias("bucket"), "like")
+    # Names are counted in a snapshot, so masked sets meet in its buckets: their number follows its files, not the corpus.
+    placed = materialise(files.where("snapshot is not null").join(masked, "content").select("snapshot", "content", "like").distinct(), "placed")
+    there = placed.select("snapshot", "like").distinct()
+    in_snapshots = there.join(masked_sets, "like").select("snapshot", "like", F.explode("bands").alias("band"))
+    in_masked = in_snapshots.select(F.lit(True).alias("masked"), F.xxhash64("snapshot", "band").alias("bucket"), "like")
+    links = _links(in_plain.unionByName(in_masked), known.select("content", "head"))
+    # Plain links join contents; masked ones join contents of a snapshot, whose nodes are longer.
+    node = lambda c: F.concat(F.encode(F.col("snapshot").cast("string"), "utf-8"), F.lit(b"@"), c)
+    both = (
+        links.where("masked").select(F.col("content").alias("like"), "other").join(there, "like")
+        .join(there.select("snapshot", F.col("like").alias("other")), ["snapshot", "other"])
+        .select(node(F.col("like")).alias("content"), node(F.col("other")).alias("other"))
+    )
+    labels = _families(links.where("not masked").select("content", "other").unionByName(both))
+
+    def labelled(members: DataFrame, key: Column) -> DataFrame:
+        named = members.withColumn("node", key).join(labels.withColumnRenamed("content", "node"), "node", "left")
+        several = named.withColumn("family", F.coalesce("family", "node")).withColumn("n", F.count("*").over(Window.partitionBy("family")))
+        return several.where("n > 1").drop("node", "n", "like")
+
     evidence = read.groupBy("content").agg(F.max("told").alias("told"), F.max("look").alias("look"), F.max("n_lines").alias("n_lines"))
-    return evidence, _families(verified.where(F.col("alike_plain") >= SIMILARITY)), verified
+    return evidence, labelled(plain, F.col("like")), labelled(placed, node(F.col("like")))
 
 
 def not_handwritten(files: DataFrame, heads: DataFrame) -> DataFrame:
     """(entry_id, kind) of the rows of files whose file was not written by hand there: generated, vendored, minified or data."""
-    evidence, plain, verified = families(files, heads)
     rows = files.select(
         "entry_id",
         "repo_path",
-        "git_hash",
+        F.when(F.col("repo_path").isNotNull() & F.col("git_hash").isNotNull(), F.xxhash64("repo_path", "git_hash")).alias("snapshot"),
         F.xxhash64("rel_path").alias("name"),
         F.unhex(F.md5("content_hash")).alias("content"),
         F.when(F.col("byte_count") > 0, F.col("byte_count")).alias("bytes"),
@@ -337,6 +392,7 @@ def not_handwritten(files: DataFrame, heads: DataFrame) -> DataFrame:
         .when(_matches("rel_path", MINIFIED_PATHS), "minified")
         .alias("named"),
     )
+    evidence, plain, masked = families(rows.select("content", "snapshot"), heads)
     # What the members of a plain family state together, and in how many repositories they lie.
     owned = plain.join(rows.select("content", "repo_path", "bytes"), "content", "left").join(evidence, "content", "left")
     shared = owned.groupBy("family").agg(
@@ -348,17 +404,16 @@ def not_handwritten(files: DataFrame, heads: DataFrame) -> DataFrame:
     )
     by_content = evidence.join(plain.join(shared, "family").drop("family"), "content", "left")
     # Masked families of one repository and snapshot under several names.
-    member = verified.select("content", "other").unionByName(verified.select(F.col("other").alias("content"), "other").distinct())
-    placed = member.join(rows.select("content", "repo_path", "git_hash", "name"), "content")
-    many = placed.groupBy("other", "repo_path", "git_hash").agg(F.countDistinct("name").alias("n")).where(F.col("n") >= FAMILY_NAMES)
-    alike = placed.join(many, ["other", "repo_path", "git_hash"], "left_semi").select("content", "repo_path", "git_hash").distinct()
+    named = masked.join(rows.select("content", "snapshot", "name"), ["content", "snapshot"])
+    many = named.groupBy("family").agg(F.countDistinct("name").alias("n")).where(F.col("n") >= FAMILY_NAMES)
+    alike = masked.join(many, "family", "left_semi").select("content", "snapshot").distinct()
 
     own = F.col("told").eqNullSafe("own")
     told = F.when(~own, F.coalesce("told", "f_told"))
     look = F.coalesce("look", "f_look")
     size, lines = F.coalesce("bytes", "f_bytes"), F.coalesce("n_lines", "f_lines")
     data = F.when(size.isNotNull(), size >= BLOB_BYTES).otherwise(F.coalesce((lines <= FEW_LINES) | (lines >= BLOB_LINES), F.lit(True)))
-    judged = rows.join(by_content, "content", "left").join(alike.withColumn("alike", F.lit(True)), ["content", "repo_path", "git_hash"], "left")
+    judged = rows.join(by_content, "content", "left").join(alike.withColumn("alike", F.lit(True)), ["content", "snapshot"], "left")
     kind = (
         F.when(told.isNotNull(), told)
         .when(F.col("named").isNotNull() & ~(own & (F.col("named") == "generated")), F.col("named"))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -96,6 +97,33 @@ def test_families(spark):
     assert got == {i: "generated" for i in range(9)} | {20: "vendored", 21: "vendored"}
 
 
+def test_plain_near_copies_among_many_of_one_template(spark):
+    rng = random.Random(4)
+    template = unique_code(rng, 20)
+    fill = lambda: re.sub(r"v\d+", lambda _: f"w{rng.randint(0, 10**6)}", template)
+    heads, files = [], []
+    for i in range(120):
+        text = fill()
+        heads.append((f"t{i}", text, 20))
+        files.append((i, f"r{i}", f"a{i}.py", f"t{i}", 10))
+        if i < 20:
+            heads.append((f"u{i}", text + "\n    pass", 21))
+            files.append((1000 + i, f"q{i}", f"b{i}.py", f"u{i}", 10))
+    assert run(spark, files, heads) == {n: "vendored" for i in range(20) for n in (i, 1000 + i)}
+
+
+def test_a_masked_family_is_one_chain_of_its_snapshot(spark):
+    lines = unique_code(random.Random(5), 40).split("\n")
+    # Neighbours are alike, the ends are not; in another repository the chain is cut.
+    texts = ["\n".join(lines[2 * i : 2 * i + 24]) for i in range(8)]
+    heads = [(f"k{i}", re.sub("v", f"n{i}_", text), 24) for i, text in enumerate(texts)]
+    files = [(i, "p", f"f{i}.py", f"k{i}", 10) for i in range(8)] + [(20 + i, "q", f"f{i}.py", f"k{i}", 10) for i in range(7)]
+    shingled = [shingles(tokens(h)[0]) for _, h, _ in heads]
+    assert all(similarity(a, b) >= SIMILARITY for a, b in zip(shingled, shingled[1:])) and similarity(shingled[0], shingled[-1]) < SIMILARITY
+    got = run(spark, files, heads)
+    assert {i: got[i] for i in range(8)} == {i: "generated" for i in range(8)} and "generated" not in {got.get(20 + i) for i in range(7)}
+
+
 def test_a_version_kept_by_hand_does_not_inherit(spark):
     body = unique_code(random.Random(3), 30)
     heads = [("a", "# Code generated by t 1.2. DO NOT EDIT.\n" + body, 30), ("b", body + "\n", 30), ("c", "# Once generated from x.idl, maintained by hand since version 2.\n" + body, 30)]
