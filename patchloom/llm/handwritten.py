@@ -45,7 +45,7 @@ BANDS, ROWS = 10, 5
 SIGNATURE = 256
 #: At a similarity of 0.8 a tenth of the bits differ, 25.6 of 256 with a deviation of 4.8.
 MOST_DIFFERING_BITS = 50
-#: Contents with fewer shingles are too short to tell a family by.
+#: Contents with fewer masked shingles are too short to tell a masked family by; plain near-copies have no floor.
 LEAST_SHINGLES = 40
 #: Names within one repository and snapshot that make a family of generated files.
 FAMILY_NAMES = 8
@@ -267,8 +267,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             masked, plain = tokens(head)
             hashes = shingles(masked)
             row = [content, banner(head), layout(head, masked), lines]
-            for own in (shingles(plain), hashes):
-                row += [hashlib.md5(own).digest(), band_keys(_least(own, BANDS * ROWS))] if len(hashes) >= LEAST_SHINGLES and len(own) else [None, None]
+            for own, fewest in ((shingles(plain), 1), (hashes, LEAST_SHINGLES)):
+                row += [hashlib.md5(own).digest(), band_keys(_least(own, BANDS * ROWS))] if len(own) >= fewest else [None, None]
             rows.append(tuple(row))
         yield batch_of(_HEADS, rows)
 

@@ -112,6 +112,15 @@ def test_plain_near_copies_among_many_of_one_template(spark):
     assert run(spark, files, heads) == {n: "vendored" for i in range(20) for n in (i, 1000 + i)}
 
 
+def test_short_near_copies_in_two_repositories(spark):
+    rng = random.Random(6)
+    short, other = unique_code(rng, 3), unique_code(rng, 3)
+    assert len(shingles(tokens(short)[0])) < 40
+    heads = [("s1", short, 3), ("s2", short + "\n", 4), ("o1", other, 3), ("x1", "x = 1", 1), ("x2", "x = 1\n", 1)]
+    files = [(1, "p", "a.py", "s1", 9), (2, "q", "b.py", "s2", 9), (3, "p", "c.py", "o1", 9), (4, "p", "x.py", "x1", 9), (5, "q", "x.py", "x2", 9)]
+    assert run(spark, files, heads) == {1: "vendored", 2: "vendored"}
+
+
 def test_a_masked_family_is_one_chain_of_its_snapshot(spark):
     lines = unique_code(random.Random(5), 40).split("\n")
     # Neighbours are alike, the ends are not; in another repository the chain is cut.
