@@ -213,8 +213,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def banner(head: str) -> str | None:
-    """'generated' or 'vendored' if the comments at the top state so of the file, 'own' if they say that it is not."""
-    lines = [line for line in head.split("\n")[:12] if _COMMENT.match(line)]
+    """'generated' or 'vendored' if the comment lines of the head state so of the file, 'own' if they say that it is not."""
+    lines = [line for line in head.split("\n") if _COMMENT.match(line)]
     told = [line for line in lines if not _REMARK.search(line)]
     top = "\n".join(told)
     if _GENERATED.search(top):

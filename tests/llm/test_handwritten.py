@@ -23,6 +23,11 @@ def test_banners(head, kind):
     assert banner(head) == kind
 
 
+@pytest.mark.parametrize(("line", "kind"), [("Code generated by toolx 1.2. DO NOT EDIT.", "generated"), ("Vendored from libx 1.2.", "vendored"), ("Maintained by hand.", "own")])
+def test_banners_below_a_long_licence(line, kind):
+    assert banner("# Permission is granted to any person.\n" * 30 + f"#\n# {line}\n" + CODE) == kind
+
+
 @pytest.mark.parametrize(
     ("head", "look"),
     [
