@@ -1,8 +1,9 @@
 """The N highest-ranking items of every group.
 
-A size-N bounded heap per group is a mergeable aggregate: each task builds heaps over its rows
-before the shuffle, and only the heaps' items (N a group and task) are shuffled and merged. A
-group of any size is therefore N items a task.
+Repeats are told first: every distinct item is shuffled once by group and identifier, which
+spreads the hottest group evenly. A size-N bounded heap per group is then a mergeable aggregate:
+each task builds heaps over its distinct items, and only the heaps' items (N a group and task) are
+shuffled and merged. A group is therefore N items a task in the second shuffle, not in the first.
 
 Defined results: repeated deliveries of an item (same group and identifier) count once, the
 highest-ranking delivery holds; nulls in the group form a group of their own; a null score ranks
