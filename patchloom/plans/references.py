@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import same_name, same_path
-from ..operators.orphans import Reference, orphans
+from ..operators.orphans import Reference, key_of, orphans, orphans_per_period
 from ..sources.tables import table
 
 
-def index_references(spark: SparkSession, sf_dir: str, carry: list[str] | None = None) -> list[Reference]:
+RUN = [F.col("repo_path"), F.col("git_hash")]
+
+
+def index_references(spark: SparkSession, sf_dir: str, carry: list[Column] | None = None) -> list[Reference]:
     """Call edges refer to symbols, symbols refer to files, both within one snapshot."""
     edges = table(spark, sf_dir, "call_edges").where("callee_path <> '' and callee_qname <> ''")
     symbols = table(spark, sf_dir, "symbols")
     files = table(spark, sf_dir, "file_entries")
-    run = [F.col("repo_path"), F.col("git_hash")]
-    symbol_key = [*run, same_path(F.col("rel_path")), same_name(F.col("qualified_name"))]
-    path_key = [*run, same_path(F.col("rel_path"))]
+    symbol_key = [*RUN, same_path(F.col("rel_path")), same_name(F.col("qualified_name"))]
+    path_key = [*RUN, same_path(F.col("rel_path"))]
     return [
         Reference(
-            "call_edges", edges, "edge_id", [*run, same_path(F.col("callee_path")), same_name(F.col("callee_qname"))],
+            "call_edges", edges, "edge_id", [*RUN, same_path(F.col("callee_path")), same_name(F.col("callee_qname"))],
             "symbols", symbols, symbol_key, carry or [],
         ),
         Reference("symbols", symbols, "symbol_id", path_key, "file_entries", files, path_key, carry or []),
@@ -33,12 +35,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_orphans_per_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphans per table and month of the snapshot's latest indexed_at; null where the snapshot has no run."""
-    rows = orphans(index_references(spark, sf_dir, ["repo_path", "git_hash"]))
-    runs = table(spark, sf_dir, "index_runs").groupBy("repo_path", "git_hash").agg(F.max("indexed_at").alias("indexed_at"))
-    # Counted per snapshot first, so that a hot snapshot is one row in the join with its run.
-    per_run = rows.groupBy("table_name", "repo_path", "git_hash").agg(F.count("*").alias("n"))
-    dated = per_run.join(runs, ["repo_path", "git_hash"], "left")
-    return dated.groupBy("table_name", F.date_format("indexed_at", "yyyy-MM").alias("period")).agg(F.sum("n").alias("n_orphans"))
+    run = key_of(RUN).alias("run")
+    runs = table(spark, sf_dir, "index_runs").groupBy(run).agg(F.date_format(F.max("indexed_at"), "yyyy-MM").alias("period"))
+    return orphans_per_period(index_references(spark, sf_dir, [run]), runs)
 
 
 QUERIES = {"p3_found": p3_found, "p3_orphans_per_month": p3_orphans_per_month}
