@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from patchloom.llm.topn import top_n
+from patchloom.llm.topn import heaps, top_n
 
 SCHEMA = "g string, h int, s double, id int, position string, _id string"
 
@@ -42,3 +42,25 @@ def test_one_huge_group(spark):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_heaps_come_before_the_shuffle(spark):
+    df = spark.range(0, 400_000, 1, 8).select((F.col("id") % 40).alias("g"), F.hash("id").alias("s"), (F.col("id") % 390_000).alias("i"))
+    partial = heaps(df, ["g"], [F.col("s")], "i", 5)
+    assert partial.count() <= 40 * 5 * 8
+    plan = top_n(df, ["g"], [F.col("s")], "i", 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_more_groups_than_a_task_holds(spark):
+    df = spark.range(0, 9_000, 1, 2).select((F.col("id") % 3_000).cast("string").alias("g"), F.col("id").alias("s"), F.col("id").alias("i"))
+    small = heaps(df, ["g"], [F.col("s")], "i", 2, buffer=500)
+    assert small.select("_g0").distinct().count() == 3_000
+    best = {r.g: r.i for r in top_n(df, ["g"], [F.col("s")], "i", 2).where("position = 1").collect()}
+    assert best == {str(g): 6_000 + g for g in range(3_000)}
+
+
+def test_nan_scores_and_text_identifiers(spark):
+    df = spark.createDataFrame([("a", float("nan"), "x"), ("a", 1.0, "z"), ("a", 1.0, "y"), ("a", None, "w")], "g string, s double, i string")
+    got = {r.position: r.i for r in top_n(df, ["g"], [F.col("s")], "i", 3).collect()}
+    assert got == {1: "y", 2: "z", 3: "w"}
