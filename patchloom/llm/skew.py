@@ -1,0 +1,34 @@
+"""Joins and pairs whose hottest key may hold a third of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Rows that make a key hot, and rows of a salt of it.
+HOT_ROWS = 10_000
+#: Keys whose heat is made known to every task: those with the most rows; any other has less than 1/HOT_KEYS of all rows.
+HOT_KEYS = 1_000
+#: Members of a group that meet all its members in one task.
+BLOCK = 256
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, spread: Column, how: str = "inner") -> DataFrame:
+    """rows joined with keyed, one row a key, whose column n tells how many rows (about) have the key; hot keys are salted.
+
+    The hottest HOT_KEYS keys and their salts are broadcast, a bounded number; a row of one takes a salt
+    by `spread`, and its key is repeated once a salt. Rows of all other keys have salt 0, which every key has.
+    """
+    salts = F.greatest(F.lit(1), F.ceil(F.col(n) / HOT_ROWS)).cast("int")
+    hot = keyed.where(F.col(n) >= HOT_ROWS).orderBy(F.col(n).desc(), *on).limit(HOT_KEYS).select(*on, salts.alias("_salts"))
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_salts")).cast("int"), F.lit(0)))
+    repeated = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.drop("_salts").join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+def pairs_within(members: DataFrame, group: str, member: str, n: str) -> DataFrame:
+    """(member_a, member_b), a < b, of every two members of a group; n is the group's size, whose blocks go to different tasks."""
+    blocks = F.ceil(F.col(n) / BLOCK).cast("int")
+    left = members.select(group, F.col(member).alias(f"{member}_a"), F.pmod(F.xxhash64(member), blocks).cast("int").alias("_block"))
+    right = members.select(group, F.col(member).alias(f"{member}_b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"))
+    return left.join(right, [group, "_block"]).where(F.col(f"{member}_a") < F.col(f"{member}_b")).select(f"{member}_a", f"{member}_b")

@@ -3,8 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from patchloom.llm import spans
-from patchloom.llm.spans import code_points, kept_edges, shared_characters, shared_starts, sharing_pairs
+from patchloom.llm import skew
+from patchloom.llm.spans import code_points, kept_edges, shared_characters, sharing_pairs, stretches_and_windows
 
 LEAST = 32
 
@@ -49,8 +49,9 @@ def test_equals_brute_force(spark, seed):
     assert check(spark, corpus(random.Random(seed)))
 
 
-def test_hot_paths_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(spans, "HOT_TEXTS", 3)
+def test_hot_edges_and_classes_equal_brute_force(spark, monkeypatch):
+    for name in ("HOT_ROWS", "HOT_KEYS", "BLOCK"):
+        monkeypatch.setattr(skew, name, 3)
     rng = random.Random(4)
     notice, short = "a notice of forty characters, all the same", "only thirty characters of it.."
     tail = lambda: "".join(rng.choice("uvwxyz") for _ in range(30))
@@ -80,9 +81,34 @@ def test_every_shared_span_holds_a_shared_kept_edge():
         assert set(ha.tolist()) & set(hb.tolist())
 
 
+def test_repeated_grams_within_texts(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("klmnop") for _ in range(n))
+    gram, long = text(22), text(90)
+    docs = [(i, text(10) + rng.choice([gram, long[:40], long[30:], long, gram * 3]) + text(9) + rng.choice([gram, long, long[20:70], gram + text(4)]) + text(8)) for i in range(60)]
+    assert check(spark, docs)
+
+
+def test_a_long_notice_in_many_texts(spark):
+    rng = random.Random(5)
+    notice = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    docs = [(i, chr(0x4E00 + i) * 40 + notice + chr(0x7000 + i) * 40) for i in range(2000)]
+    df = spark.createDataFrame(docs, "id long, body string")
+    assert sharing_pairs(df, "id", "body").count() == 2000 * 1999 // 2
+    chars = {r.shared_chars for r in shared_characters(df, "id", "body").collect()}
+    assert chars == {1500}
+
+
+def test_deliveries_with_other_texts_each_count(spark):
+    a, b = "0123456789" * 4, "abcdefghij" * 4
+    docs = [(1, a), (1, b), (2, "x" + a), (3, "y" + b), (3, "y" + b), (4, "z" * 50), (4, "z" * 50)]
+    df = spark.createDataFrame(docs, "id long, body string")
+    assert {tuple(r) for r in sharing_pairs(df, "id", "body", LEAST).collect()} == {(1, 2), (1, 3)}
+    assert {r.id: r.shared_chars for r in shared_characters(df, "id", "body", LEAST).collect()} == {1: 40, 2: 40, 3: 40}
+
+
 def test_very_long_texts():
-    rng = np.random.default_rng(0)
-    a = rng.integers(97, 123, 600_000).astype(np.uint32)
-    b = np.concatenate([rng.integers(97, 123, 5000).astype(np.uint32), a[300_000:300_400]])
-    in_a, in_b = shared_starts(a, b, 256)
-    assert in_a.tolist() == list(range(300_000, 300_145)) and in_b.tolist() == list(range(5000, 5145))
+    text = "".join(map(chr, np.random.default_rng(0).integers(97, 123, 600_000)))
+    places, _ = kept_edges(code_points(text), 160, 97)
+    given = stretches_and_windows(text, [(int(places[0]), int(places[-1]))], 160, 256, False)
+    assert [(a, b) for _, a, b in given] == [(places[0], places[-1] + 160)]
