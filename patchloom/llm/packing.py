@@ -1,10 +1,15 @@
 """Texts of varying length packed into contexts of fixed capacity.
 
 Space-filling-curve order: the tokens of a text are hashed into a vector, the vector is projected
-to three dimensions, and its place on a Hilbert curve is the text's key. Texts are range-sorted by
-group and key, so a group of any size spreads over partitions, and neighbours along the curve are
-packed: WINDOW successive texts at a time, largest first, each into the fullest context that still
-holds it. Contexts with room left stay open for the next windows of their group and partition.
+to three dimensions, and its place on a Hilbert curve is the text's key. Texts are sorted by group
+and key and packed along the curve: the first text not yet packed begins a context, and the largest
+of the next LOOK_AHEAD texts that fit fill it. A context is closed before the next begins, so its
+members are neighbours on the curve, and a task holds LOOK_AHEAD texts whatever the size of its group.
+
+A group of any size is spread over tasks by stretches of the curve. Texts are counted in CELLS cells
+of each large group; cells in a row make a chunk of PARTITION_ITEMS texts and more, and a chunk
+that one crowded cell makes too large is dealt out by identifier. Chunks follow from the counts
+alone, so a run over the same texts gives the same contexts, however it is partitioned.
 
 A text over the capacity is cut into full contexts and a rest that is packed like any text; no
 other text is cut. A context holds one group only. Its identifier is its first member, so that a
@@ -19,6 +24,7 @@ texts and ties are ordered by identifier; an empty table gives none; extra colum
 from __future__ import annotations
 
 import base64
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,14 +32,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import materialise
 from .arrow import batch_of, texts
 
 CAPACITY = 2048
-WINDOW = 4096
-#: Items of a packing partition.
-PARTITION_ITEMS = 50_000
+#: Texts along the curve among which a context's members are chosen.
+LOOK_AHEAD = 512
+#: Least texts of a chunk of a group that has more, and most chunks of all groups (which bounds the table of cells sent to tasks).
+PARTITION_ITEMS, MOST_CHUNKS = 50_000, 2048
+CELLS = 4096
 DIMENSIONS, BITS, FEATURES = 3, 10, 1 << 14
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's tokenizer parts text before merging.
@@ -93,43 +102,53 @@ def hilbert_index(x: list[int]) -> int:
 
 
 class Packer:
-    """Open contexts of one group by the room they have left."""
-
-    def __init__(self, capacity: int):
-        self.capacity = capacity
-        self.open: list[list[list[tuple]]] = [[] for _ in range(capacity + 1)]
-        self.rooms = 0  # bit r: a context with room r is open
-        self.full: list[list[tuple]] = []
-
-    def _put(self, context: list[tuple], room: int) -> None:
-        if room:
-            self.open[room].append(context)
-            self.rooms |= 1 << room
-        else:
-            self.full.append(context)
-
-    def add(self, window: list[tuple]) -> None:
-        """window: (size, ...) of items no larger than the capacity, in the order of the curve."""
-        for item in sorted(window, key=lambda x: -x[0]):
-            fits = self.rooms >> item[0]
-            if fits:
-                room = item[0] + ((fits & -fits).bit_length() - 1)
-                context = self.open[room].pop()
-                if not self.open[room]:
-                    self.rooms &= ~(1 << room)
-            else:
-                room, context = self.capacity, []
-            context.append(item)
-            self._put(context, room - item[0])
-
-    def closed(self, all_of_them: bool) -> list[list[tuple]]:
-        out, self.full = self.full, []
-        if all_of_them:
-            out += [c for contexts in self.open for c in contexts]
-            self.open = [[] for _ in range(self.capacity + 1)]
-            self.rooms = 0
+    """The next texts along the curve, by place and by size."""
+
+    def __init__(self, capacity: int, look_ahead: int = LOOK_AHEAD):
+        self.capacity, self.look_ahead = capacity, look_ahead
+        self.order: deque[tuple] = deque()
+        self.by_size: list[deque[tuple]] = [deque() for _ in range(capacity + 1)]
+        self.sizes = 0  # bit s: a text of size s waits
+        self.taken: set[tuple] = set()
+        self.waiting = 0
+
+    def add(self, item: tuple) -> list[list[tuple]]:
+        """item: (size, ...) no larger than the capacity, in the order of the curve. Contexts that are closed."""
+        self.order.append(item)
+        self.by_size[item[0]].append(item)
+        self.sizes |= 1 << item[0]
+        self.waiting += 1
+        return [self._context()] if self.waiting > self.look_ahead else []
+
+    def rest(self) -> list[list[tuple]]:
+        out = []
+        while self.waiting:
+            out.append(self._context())
+        self.taken.clear()
+        self.order.clear()
         return out
 
+    def _take(self, size: int) -> tuple:
+        queue = self.by_size[size]
+        item = queue.popleft()
+        if not queue:
+            self.sizes &= ~(1 << size)
+        self.waiting -= 1
+        return item
+
+    def _context(self) -> list[tuple]:
+        while self.order[0] in self.taken:
+            self.taken.discard(self.order.popleft())
+        # The first along the curve is also the first of its size.
+        context = [self._take(self.order.popleft()[0])]
+        room = self.capacity - context[0][0]
+        while fits := self.sizes & ((1 << room + 1) - 1):
+            item = self._take(fits.bit_length() - 1)
+            self.taken.add(item)
+            context.append(item)
+            room -= item[0]
+        return context
+
 
 _SIZED = pa.schema([("id", pa.int64()), ("owner", pa.string()), ("n_tokens", pa.int64()), ("key", pa.int64())])
 _PLACED = pa.schema(
@@ -163,41 +182,55 @@ def _rows(contexts: list[list[tuple]], owner: str | None) -> list[tuple]:
 
 def _packed(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, now, window = Packer(capacity), None, []
+        packer, now = Packer(capacity), None
         for batch in batches:
             out: list[tuple] = []
-            columns = (batch["id"].to_pylist(), texts(batch["owner"]), batch["n_tokens"].to_pylist(), batch["key"].to_pylist())
-            for item, owner, size, key in zip(*columns):
-                if owner != now:
-                    packer.add(window)
-                    out += _rows(packer.closed(True), now)
-                    now, window = owner, []
+            columns = (texts(batch["owner"]), batch["chunk"].to_pylist(), batch["sub"].to_pylist(), batch["id"].to_pylist(), batch["n_tokens"].to_pylist(), batch["key"].to_pylist())
+            for owner, chunk, sub, item, size, key in zip(*columns):
+                if (owner, chunk, sub) != now:
+                    out += _rows(packer.rest(), now and now[0])
+                    now = owner, chunk, sub
                 pieces = max(1, -(-size // capacity))
                 for piece in range(pieces):
-                    window.append((min(capacity, size - piece * capacity), key, item, piece, pieces))
-                if len(window) >= WINDOW:
-                    packer.add(window)
-                    window = []
-                    out += _rows(packer.closed(False), now)
+                    out += _rows(packer.add((min(capacity, size - piece * capacity), key, item, piece, pieces)), owner)
             if out:
                 yield batch_of(_PLACED, out)
-        packer.add(window)
-        out = _rows(packer.closed(True), now)
+        out = _rows(packer.rest(), now and now[0])
         if out:
             yield batch_of(_PLACED, out)
 
     return run
 
 
+def in_chunks(sized: DataFrame, total: int) -> DataFrame:
+    """sized (id, owner, key, ...) with chunk and sub: the stretch of its group's curve that a text is packed with."""
+    least = max(PARTITION_ITEMS, -(-total // MOST_CHUNKS))
+    cell = F.shiftright("key", DIMENSIONS * BITS - (CELLS - 1).bit_length()).cast("int")
+    counts = sized.groupBy("owner", cell.alias("cell")).agg(F.count("*").alias("n"))
+    large = counts.groupBy("owner").agg(F.sum("n").alias("all")).where(F.col("all") > least)
+    every = large.select("owner", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("cell")).alias("e")
+    same = F.col("e.owner").eqNullSafe(F.col("c.owner")) & (F.col("e.cell") == F.col("c.cell"))
+    filled = every.join(counts.alias("c"), same, "left").select("e.owner", "e.cell", F.coalesce("n", F.lit(0)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("owner").orderBy("cell")) - F.col("n")
+    chunks = filled.withColumn("chunk", F.floor(before / least).cast("int"))
+    dealt = F.floor(F.sum("n").over(Window.partitionBy("owner", "chunk")) / least)
+    chunks = chunks.withColumn("subs", F.greatest(F.lit(1), dealt).cast("int"))
+    # At most MOST_CHUNKS groups are large, each with CELLS entries.
+    table = chunks.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("cell", "chunk", "subs"))).alias("cells"))
+    met = sized.alias("s").join(F.broadcast(table.alias("t")), F.col("s.owner").eqNullSafe(F.col("t.owner")), "left")
+    place = F.get("t.cells", cell)
+    chunk, sub = F.coalesce(place["chunk"], F.lit(0)), F.coalesce(F.pmod(F.xxhash64("id"), place["subs"]).cast("int"), F.lit(0))
+    return met.select("s.*", chunk.alias("chunk"), sub.alias("sub"))
+
+
 def pack(items: DataFrame, item_id: str, group: str, text: str, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, piece, n_pieces, owner, context_id, position, n_tokens): the place of every text, or of every piece of a larger one."""
     rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(group).cast("string").alias("owner"), F.col(text).alias("text"))
     sized = rows.where("text <> '' and id is not null").mapInArrow(_sized(vocabulary), "id long, owner string, n_tokens long, key long")
     once = sized.groupBy("id").agg(F.max(F.struct("n_tokens", "owner", "key")).alias("x")).select("id", "x.*")
     ready = materialise(once, "sized")
-    partitions = max(1, -(-ready.count() // PARTITION_ITEMS))
-    order = [F.col("owner").asc_nulls_first(), F.col("key"), F.col("id")]
-    ranged = ready.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    return ranged.select("id", "owner", "n_tokens", "key").mapInArrow(
+    chunk = ["owner", "chunk", "sub"]
+    along = in_chunks(ready, ready.count()).repartition(*chunk).sortWithinPartitions(*chunk, "key", "id")
+    return along.select(*chunk, "id", "n_tokens", "key").mapInArrow(
         _packed(capacity), "id long, piece int, n_pieces int, owner string, context_id string, position int, n_tokens int"
     )

@@ -38,10 +38,33 @@ def test_same_contexts_on_every_run(spark):
     assert sorted(map(tuple, run(spark, rows))) == sorted(map(tuple, run(spark, rows)))
 
 
-def test_many_partitions(spark, monkeypatch):
-    monkeypatch.setattr(packing, "PARTITION_ITEMS", 10)
-    got = run(spark, [(i, "hot" if i % 3 else "b", "word " * (i % 40 + 1)) for i in range(120)])
-    assert {r.id for r in got} == set(range(120)) and len({(r.id, r.piece) for r in got}) == len(got)
+def test_many_chunks_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PARTITION_ITEMS", 40)
+    rng = random.Random(3)
+    rows = [(i, "hot" if i % 3 else None, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "x"]) for _ in range(i % 40 + 1))) for i in range(600)]
+    rows += [(1000 + i, "hot", "the same words in many texts") for i in range(300)]
+    got = run(spark, rows)
+    assert {r.id for r in got} == {r[0] for r in rows} and len({(r.id, r.piece) for r in got}) == len(got)
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    try:
+        rng.shuffle(rows)
+        assert sorted(map(tuple, run(spark, rows))) == sorted(map(tuple, got))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_chunks_are_stretches_of_the_curve(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PARTITION_ITEMS", 100)
+    curve = 1 << packing.DIMENSIONS * BITS
+    keys = [(i, "a", (i * 7919) % 1000 * (curve // 1000)) for i in range(1000)] + [(2000 + i, "a", 5) for i in range(500)] + [(3000 + i, "b", i) for i in range(50)]
+    df = spark.createDataFrame(keys, "id long, owner string, key long")
+    held = defaultdict(list)
+    for r in packing.in_chunks(df, len(keys)).collect():
+        held[r.owner, r.chunk, r.sub].append(r.key)
+    assert max(map(len, held.values())) < 200 and sum(map(len, held.values())) == len(keys)
+    assert [k for k in held if k[0] == "b"] == [("b", 0, 0)]
+    ranges = sorted({(c, min(k), max(k)) for (o, c, _), k in held.items() if o == "a"})
+    assert all(x[2] <= y[1] or x[0] == y[0] for x, y in zip(ranges, ranges[1:]))
 
 
 def test_null_empty_long_and_empty_table(spark):
@@ -50,16 +73,31 @@ def test_null_empty_long_and_empty_table(spark):
     assert run(spark, []) == []
 
 
+def packed(sizes, capacity=100, look_ahead=500):
+    packer = Packer(capacity, look_ahead)
+    contexts = [c for n, s in enumerate(sizes) for c in packer.add((s, n, n, 0, 1))]
+    return contexts + packer.rest()
+
+
 def test_packer_wastes_little():
     rng = random.Random(1)
-    packer, sizes = Packer(100), [rng.randint(1, 60) for _ in range(3000)]
-    for i in range(0, len(sizes), 500):
-        packer.add([(s, 0, n, 0, 1) for n, s in enumerate(sizes[i : i + 500], i)])
-    contexts = packer.closed(True)
-    assert sum(len(c) for c in contexts) == 3000 and all(sum(x[0] for x in c) <= 100 for c in contexts)
+    sizes = [rng.randint(1, 60) for _ in range(3000)]
+    contexts = packed(sizes)
+    assert sorted(x[2] for c in contexts for x in c) == list(range(3000)) and all(sum(x[0] for x in c) <= 100 for c in contexts)
     assert len(contexts) <= sum(sizes) / 100 * 1.02 + 1
 
 
+def test_members_are_neighbours_on_the_curve():
+    rng = random.Random(2)
+    contexts = packed([rng.randint(1, 60) for _ in range(20_000)])
+    spread = np.mean([max(x[2] for x in c) - min(x[2] for x in c) for c in contexts if len(c) > 1])
+    order = list(range(20_000))
+    rng.shuffle(order)
+    shuffled = np.mean([max(order[x[2]] for x in c) - min(order[x[2]] for x in c) for c in contexts if len(c) > 1])
+    assert spread < shuffled / 10
+    assert all(a[0][2] < b[0][2] for a, b in zip(contexts, contexts[1:]))
+
+
 def test_hilbert_curve():
     """Neighbours on the curve are neighbours in space, and every cell comes once."""
     saved, packing.BITS = packing.BITS, 3
