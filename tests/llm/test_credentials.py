@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from patchloom.llm import credentials
@@ -89,3 +91,48 @@ def test_operator(spark, rows_of):
 def test_capitals_that_grow_when_lowered():
     text = "İ" * 50 + f'\npassword = "{WORD}"'
     assert [text[a:b] for a, b in spans(text)] == [WORD]
+
+
+LINES = {
+    "letters": "abcdefghij" * 100_000 + f' password = "{WORD}"',
+    "names": "secret " * 150_000 + f'password = "{WORD}"',
+    "pairs": "token=" * 170_000 + f'; password = "{WORD}"',
+    "open quotes": "password='" * 1 + "secret=\"" * 1 + "token=`x " * 110_000 + f'password = "{WORD}"',
+    "urls": "://a:b" * 170_000 + f' password = "{WORD}"',
+    "blanks": "password" + " " * 1_000_000 + f'; password = "{WORD}"',
+    "elements": "<password " * 100_000 + f'password = "{WORD}"',
+    "begins": (PEM[0] + " ") * 30_000 + f'password = "{WORD}"',
+    "encoded": RANDOM * 60_000 + f' password = "{WORD}"',
+    "dots": "a.b-c_" * 170_000 + f'password = "{WORD}"',
+}
+
+
+@pytest.mark.parametrize("name", LINES)
+def test_a_line_of_a_megabyte_is_read_in_linear_time(name):
+    began = time.perf_counter()
+    found = spans(LINES[name])
+    assert time.perf_counter() - began < 5 and WORD in LINES[name][slice(*found[-1])]
+
+
+def test_pass_phrases_of_any_length_and_sentences():
+    phrase = " ".join(["copper", "lantern", "orbit", "velvet", "harbour", "mitten", "quartz", "saddle", "thimble", "walnut", "ember", "fjord"])
+    assert [f'password = "{phrase}"'[a:b] for a, b in spans(f'password = "{phrase}"')] == [phrase]
+    assert spans('password: "Please enter the password that you have been given by your administrator in the field"') == []
+
+
+def test_tokens_of_few_characters_and_masked_ones():
+    assert spans("gh" + "p_" + "ab1" * 12) and not spans("gh" + "p_" + "x" * 36) and not spans("AK" + "IA" + "X" * 16)
+
+
+@pytest.mark.parametrize("lines", [300, 1500, 40_000])
+def test_private_keys_of_any_length(lines):
+    key = "\n".join([PEM[0], *["MIIEpAIBAAKCAQEAx1Yc9dQ7b8Kq3LmN5pRs7TuV9wXyMIIEpAIBAAKCAQEAx1Yc"] * lines, PEM[3]])
+    text = f"a\n{key}\nb\n{PEM[0]}\n{PEM[1]}\nc"
+    first, second = spans(text)
+    assert text[slice(*first)] == key and text[slice(*second)] == f"{PEM[0]}\n{PEM[1]}"
+    assert "MIIE" not in masked(text, [first, second])
+
+
+def test_control_characters_stay(spark):
+    text = f'\x01\x02a\x0f\n\x03password = "{WORD}"\x04'
+    assert [text[a:b] for a, b in spans(text)] == [WORD] and masked(text, spans(text)) == text.replace(WORD, MASK)
