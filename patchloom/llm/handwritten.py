@@ -9,18 +9,21 @@
    of 0.8 gives end there; the shared shingles themselves verify the rest.
 3. Families are what these links connect, and are read by what they have in common. A masked family
    of a snapshot under several names indicates generation; it is connected by files of that snapshot
-   only, as links over a whole corpus chain thousands of contents. Plain near-copies in several repositories indicate vendoring; a
-   family of nothing but literals, with the size of data, is a blob. What one content states (a
-   banner, minified layout, literals alone) holds for its whole family of plain near-copies, save
-   those that say they are kept by hand; every content is at least a family of its own.
-4. A row of the file table is found if its content's family or its own path tells so.
-
-Banners are told from remarks about banners by what they state of the file itself. Names count
-only where they are a tool's fixed form (folder, suffix or prefix), never as a word in a name.
+   only, as links over a whole corpus chain thousands of contents. Plain near-copies in several
+   repositories indicate vendoring; a family of nothing but literals, with the size of data, is a blob.
+4. The masked shingles of comment lines are statements, and the contents that make one are a family
+   over the whole corpus. No list of sentences says which of them are banners: a statement is one if
+   a good share of its family lies where tools and packagers put their files, or carries one of the
+   public marks of generated files, with CERTAIN standard deviations to spare. A remark on such
+   files, however like a banner it reads, is made in files that lie elsewhere.
+5. A row of the file table is found if its content's family or its own path tells so. Names count
+   only where they are a tool's fixed form (folder, suffix or prefix), never as a word in a name.
 
 Defined results: a null head leaves the path to decide, a null path the head; a null, zero or
 negative byte count is unknown and the lines of the family stand in; repeated rows count once by
-identifier; empty tables give none; extra columns are dropped.
+identifier; empty tables give none; extra columns are dropped. A content inherits what its plain
+family states only if its own head makes no statement. In a corpus too small to be certain of a
+statement, paths, public marks, layout and copies decide alone.
 """
 
 from __future__ import annotations
@@ -33,11 +36,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .arrow import batch_of, texts
+from .skew import BLOCK, join_counted
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -45,8 +49,6 @@ BANDS, ROWS = 10, 5
 SIGNATURE = 256
 #: At a similarity of 0.8 a tenth of the bits differ, 25.6 of 256 with a deviation of 4.8.
 MOST_DIFFERING_BITS = 50
-#: Contents with fewer masked shingles are too short to tell a masked family by; plain near-copies have no floor.
-LEAST_SHINGLES = 40
 #: Names within one repository and snapshot that make a family of generated files.
 FAMILY_NAMES = 8
 #: Bytes from which literals are data and not a table in code; where they are unknown, lines: very many or very few.
@@ -54,37 +56,14 @@ BLOB_BYTES, BLOB_LINES, FEW_LINES = 50_000, 400, 5
 #: The longest line of a head from which literals can be data, and from which dense code is minified.
 LITERAL_LINE, DENSE_LINE = 50, 120
 
-# What generators and packagers state of a file.
-GENERATED_BANNERS = [
-    r"\bcode generated by\b.*\bdo not (?:edit|modify)",
-    r"^\W*(?:this file (?:is|was) )?(?:auto-?generated|automatically generated)\b(?! by hand)",
-    r"<auto-?generated",
-    r"^\W*@generated\b",
-    r"\bautomatically (?:created|generated) (?:with|by|from)\b",
-    r"^\W*automatisch (?:erzeugt|generiert)\b",
-    r"\bthis file (?:is|was) (?:produced|generated|created|written) by\b",
-    r"\bmachine[- ](?:written|generated) from\b",
-    r"-{2,} ?begin \w+ output",
-    r"^\W*generated code\b",
-    r"^\W*output of \w+ v?\d",
-    r"^\W*generated (?:by|from|with|using)\b",
-    r"\bdo not (?:edit|modify)(?: by hand)?\W*$",
-    r"\bchanges will be (?:lost|overwritten)",
-    r"\bmanual edits are overwritten\b",
-]
-VENDORED_BANNERS = [
-    r"^\W*bundled copy of\b",
-    r"^\W*vendored from\b",
-    r"^\W*(?:imported|copied|taken|mirrored) from the \S+ (?:project|library|package|repository)\b",
-    r"\bthird-party, see notice\b",
-    r"^\W*local mirror, kept in sync\b",
-    r"\bcopyright \(c\) (?:\d{4}[\d, \-]* )?the \S+ (?:authors|contributors)\b",
-]
-#: Remarks that only speak of such files.
-REMARKS = [
-    r"\bonce generated\b", r"\bmaintained by hand\b", r"\bmodule is ours\b", r"\bwe wrote our own\b", r"\bemits the files\b",
-    r"\bcarry a\b", r"\bis checked here\b", r"^\W*helpers? for\b", r"^\W*replaces\b", r"^\W*talks to\b", r"\bwritten for the\b",
-]
+#: A statement is a banner if at least this share of its contents has evidence, with so many standard deviations to spare.
+BANNER_SHARE, CERTAIN = 0.2, 4.0
+#: Words of a statement that are no mask.
+LEAST_WORDS = 2
+
+# Public marks of generated files, at the start of a comment.
+PUBLIC_MARKS = [r"^\W*code generated .*\bdo not edit\b", r"^\W*@generated\b", r"^\W*<auto-?generated"]
+# Where tools and packagers put their files.
 GENERATED_PATHS = (
     r"(?:^|/)(?:__generated__|generated|gen|autogen|build/intermediates)/|_pb2(?:_grpc)?\.pyi?$|\.pb\.(?:go|cc|h)$|\.pb\.gw\.go$|\.tab\.[ch]$|\.yy\.c$"
     r"|(?:^|/)zz_generated\.|_autogen\.\w+$|_generated\.\w+$|\.gen\.\w+$|\.g\.dart$|\.designer\.cs$|\.generated\.\w+$"
@@ -94,9 +73,7 @@ VENDORED_PATHS = (
 )
 MINIFIED_PATHS = r"[.\-]min\.(?:js|css|mjs)$|\.bundle\.js$|\.[0-9a-f]{8,}\.(?:js|css)$|(?:^|/)dist/[^/]+\.js$"
 
-_GENERATED = re.compile("|".join(GENERATED_BANNERS), re.I | re.M)
-_VENDORED = re.compile("|".join(VENDORED_BANNERS), re.I | re.M)
-_REMARK = re.compile("|".join(REMARKS), re.I | re.M)
+_MARK = re.compile("|".join(PUBLIC_MARKS), re.I | re.M)
 _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|<!--|--|;|\"\"\"|''')")
 #: In order: encoded data wrapped over lines, comments, strings, numbers, names, all else a character each.
 _TOKEN = re.compile(
@@ -174,8 +151,8 @@ class _Codes(dict):
 _CODES = _Codes()
 
 
-def shingles(words: list[str]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of each SHINGLE successive tokens."""
+def gram_codes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of each SHINGLE successive tokens."""
     n = len(words) - SHINGLE + 1
     if n < 1:
         return np.empty(0, np.uint64)
@@ -186,7 +163,12 @@ def shingles(words: list[str]) -> np.ndarray:
         out ^= out >> np.uint64(29)
         out += codes[j : n + j]
     out *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(out ^ (out >> np.uint64(31)))
+    return out ^ (out >> np.uint64(31))
+
+
+def shingles(words: list[str]) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; a text of fewer tokens than a shingle has none."""
+    return np.unique(gram_codes(words))
 
 
 def signature(hashes: np.ndarray) -> tuple[list[int], list[int]]:
@@ -212,14 +194,49 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def banner(head: str) -> str | None:
-    """'generated' or 'vendored' if the comment lines of the head state so of the file, 'own' if they say that it is not."""
-    lines = [line for line in head.split("\n") if _COMMENT.match(line)]
-    told = [line for line in lines if not _REMARK.search(line)]
-    top = "\n".join(told)
-    if _GENERATED.search(top):
-        return "generated"
-    return "vendored" if _VENDORED.search(top) else "own" if len(told) < len(lines) else None
+_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
+_AROUND = ".,;:()[]\"'`!*/#<>-|="
+
+
+def statement_words(line: str) -> list[str]:
+    """Words of a comment line in lower case; whatever is no plain word is masked, a run of masks is one."""
+    out: list[str] = []
+    for word in line.lower().split():
+        word = word.strip(_AROUND)
+        if word and not _WORD.fullmatch(word):
+            word = "N"
+        if word and not (word == "N" and out and out[-1] == "N"):
+            out.append(word)
+    return out
+
+
+def statements(comments: list[str]) -> list[int]:
+    """Hashes of the shingles of comment lines, whose ends are tokens too; a shorter line is one shingle."""
+    words: list[str] = []
+    valid: list[bool] = []
+    for comment in comments:
+        said = statement_words(comment)
+        if len(said) - said.count("N") < LEAST_WORDS:
+            continue
+        line = ["^", *said, "$"]
+        line += ["$"] * (SHINGLE - len(line))
+        real = np.fromiter((w not in ("N", "^", "$") for w in line), np.int64, len(line))
+        counts = np.convolve(real, np.ones(SHINGLE, np.int64), "valid")
+        valid += (counts >= LEAST_WORDS).tolist() + [False] * (SHINGLE - 1)
+        words += line
+    if not words:
+        return []
+    kept = np.array(valid[: len(words) - SHINGLE + 1])
+    return np.unique(gram_codes(words)[kept]).view(np.int64).tolist()
+
+
+def comments_of(head: str) -> list[str]:
+    return [line for line in head.split("\n") if _COMMENT.match(line)]
+
+
+def marked(comments: list[str]) -> bool:
+    """Whether a comment line carries a public mark of generated files."""
+    return any(_MARK.match(line) for line in comments)
 
 
 def layout(head: str, masked: list[str]) -> str | None:
@@ -255,7 +272,7 @@ def _shingled(head: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 _HEADS = pa.schema(
-    [("content", pa.binary()), ("told", pa.string()), ("look", pa.string()), ("n_lines", pa.int64())]
+    [("content", pa.binary()), ("mark", pa.bool_()), ("look", pa.string()), ("n_lines", pa.int64()), ("statements", pa.list_(pa.int64()))]
     + [(f"{by}_{c}", t) for by in ("plain", "masked") for c, t in (("set", pa.binary()), ("bands", pa.list_(pa.int64())))]
 )
 
@@ -265,10 +282,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for content, lines, head in zip(batch["content"].to_pylist(), batch["n_lines"].to_pylist(), texts(batch["head"])):
             masked, plain = tokens(head)
-            hashes = shingles(masked)
-            row = [content, banner(head), layout(head, masked), lines]
-            for own, fewest in ((shingles(plain), 1), (hashes, LEAST_SHINGLES)):
-                row += [hashlib.md5(own).digest(), band_keys(_least(own, BANDS * ROWS))] if len(own) >= fewest else [None, None]
+            comments = comments_of(head)
+            row = [content, marked(comments), layout(head, masked), lines, statements(comments)]
+            for own in (shingles(plain), shingles(masked)):
+                row += [hashlib.md5(own).digest(), band_keys(_least(own, BANDS * ROWS))] if len(own) else [None, None]
             rows.append(tuple(row))
         yield batch_of(_HEADS, rows)
 
@@ -295,20 +312,58 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(_LINKS, rows)
 
 
-def _families(pairs: DataFrame) -> DataFrame:
-    """(content, family) of the contents in pairs: the least content that links lead to."""
-    links = pairs.select("content", "other").unionByName(pairs.select(F.col("other").alias("content"), F.col("content").alias("other")))
-    links = materialise(links.distinct(), "links")
-    labels = materialise(links.groupBy("content").agg(F.least(F.col("content"), F.min("other")).alias("family")), "families")
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """One step of connecting by stars, of edges (a, b) with a > b: large ones join a node's greater
+    neighbours to its least one, small ones its lesser neighbours and itself. A hub's edges are salted."""
+    ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+    least = ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+    met = join_counted(ends, least, ["a"], "n", F.xxhash64("b"))
+    if large:
+        return met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    joined = met.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return joined.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(content, family) of the contents in pairs (content, other): the least content that links lead to.
+
+    Large and small stars in turn, until every component is one star; the rounds grow with the
+    logarithm of its size and not with its diameter.
+    """
+    a, b = F.greatest("content", "other"), F.least("content", "other")
+    edges = materialise(pairs.where("content <> other").select(a.alias("a"), b.alias("b")).distinct(), "links")
+    state = None
     while True:
-        least = links.join(labels.withColumnRenamed("content", "other"), "other").groupBy("content").agg(F.min("family").alias("near"))
-        moved = materialise(
-            labels.join(least, "content").select("content", F.least("family", "near").alias("family"), (F.col("near") < F.col("family")).alias("moved")),
-            "families",
-        )
-        labels = moved.select("content", "family")
-        if moved.where("moved").isEmpty():
-            return labels
+        edges = materialise(_stars(_stars(edges, True), False), "stars")
+        last, state = state, edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if state == last:
+            return edges.select(F.col("a").alias("content"), F.col("b").alias("family")).unionByName(
+                edges.select(F.col("b").alias("content"), F.col("b").alias("family")).distinct()
+            )
+
+
+def banners(said: DataFrame) -> DataFrame:
+    """(statement, n, kind) of the statements that are banners, of said (content, statement, generated, vendored), one row each."""
+    seen = said.groupBy("statement").agg(F.count("*").alias("n"), F.count_if("generated").alias("g"), F.count_if("vendored").alias("v"), F.count_if(F.expr("generated or vendored")).alias("e"))
+    n, share, z2 = F.col("n"), F.col("e") / F.col("n"), CERTAIN**2
+    middle = share + z2 / (2 * n)
+    # The lower end of the Wilson interval.
+    least = (middle - CERTAIN * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    return seen.where(least >= BANNER_SHARE).select("statement", "n", F.when(F.col("g") >= F.col("v"), "generated").otherwise("vendored").alias("kind"))
+
+
+def _told(read: DataFrame, rows: DataFrame) -> DataFrame:
+    """(content, mark, look, n_lines, silent, told): what a content states by public marks and banners, one row each."""
+    kinds = [F.bool_or(F.coalesce(F.col("named") == k, F.lit(False))).alias(k) for k in ("generated", "vendored")]
+    placed = rows.where("content is not null").groupBy("content").agg(*kinds)
+    once = read.select("content", "mark", "look", "n_lines", "statements").join(placed, "content", "left").dropDuplicates(["content"])
+    once = materialise(once, "stated")
+    evidence = [F.coalesce(F.col("generated") | F.col("mark"), F.col("mark")).alias("generated"), F.coalesce("vendored", F.lit(False)).alias("vendored")]
+    said = once.select("content", F.explode("statements").alias("statement"), *evidence)
+    stating = join_counted(said.select("content", "statement"), banners(said), ["statement"], "n", F.xxhash64("content"))
+    kind = stating.groupBy("content").agg(F.max_by("kind", F.struct("n", "kind")).alias("told"))
+    told = F.when(F.col("mark"), "generated").otherwise(F.col("told"))
+    return once.join(kind, "content", "left").select("content", "look", "n_lines", (F.size("statements") == 0).alias("silent"), told.alias("told"))
 
 
 def _matches(column: str, pattern: str) -> Column:
@@ -325,32 +380,36 @@ def _sets(read: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
 def _links(banded: DataFrame, known: DataFrame) -> DataFrame:
     """(masked, content, other) of every two sets in a bucket of banded (masked, bucket, like) that are similar."""
     # Most buckets hold one set; they end here, and only the other sets are signed.
-    n = F.count("*").over(Window.partitionBy("masked", "bucket"))
-    shared = materialise(banded.withColumn("n", n).where("n > 1").select("masked", "bucket", "like"), "buckets")
+    sizes = banded.groupBy("masked", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(join_counted(banded, sizes, ["masked", "bucket"], "n", F.xxhash64("like")), "buckets")
     heads = known.withColumnRenamed("content", "like").join(shared.select("masked", "like").distinct(), "like")
     heads = heads.groupBy("masked", "like").agg(F.min("head").alias("head"))
     words = [f"w{i}" for i in range(SIGNATURE // 64)]
     signed = materialise(heads.mapInArrow(_sign, f"masked boolean, like binary, head string, {', '.join(f'{w} long' for w in words)}"), "signed")
-    left = shared.join(signed.drop("head"), ["masked", "like"])
-    right = left.select("masked", "bucket", *[F.col(c).alias(f"other_{c}") for c in ("like", *words)])
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = shared.join(signed.drop("head"), ["masked", "like"])
+    left = members.withColumn("block", F.pmod(F.xxhash64("like"), blocks).cast("int")).drop("n")
+    right = members.select("masked", "bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *[F.col(c).alias(f"other_{c}") for c in ("like", *words)])
     differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"other_{w}"))) for w in words), F.lit(0))
-    met = left.join(right, ["masked", "bucket"]).where((F.col("like") < F.col("other_like")) & (differing <= MOST_DIFFERING_BITS))
+    met = left.join(right, ["masked", "bucket", "block"]).where((F.col("like") < F.col("other_like")) & (differing <= MOST_DIFFERING_BITS))
     pairs = met.select("masked", F.col("like").alias("content"), F.col("other_like").alias("other")).distinct()
     one, two = (signed.select("masked", F.col("like").alias(c), F.col("head").alias(h)) for c, h in (("content", "head"), ("other", "other_head")))
     with_heads = pairs.join(one, ["masked", "content"]).join(two, ["masked", "other"]).select("masked", "content", "other", "head", "other_head")
     return materialise(with_heads.mapInArrow(_verify, "masked boolean, content binary, other binary"), "verified")
 
 
-def families(files: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Content evidence, plain families (content, family) of several contents, and masked ones (content, snapshot, family).
-
-    files has (content, snapshot); contents are 16-byte digests of content_hash.
-    """
+def read_heads(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The heads by content, a 16-byte digest of content_hash, and what is read of them."""
     known = heads.where("content_hash is not null and head <> ''").select(
         F.unhex(F.md5("content_hash")).alias("content"), F.col("line_count").cast("long").alias("n_lines"), "head"
     )
     lists = ", ".join(f"{by}_set binary, {by}_bands array<long>" for by in ("plain", "masked"))
-    read = materialise(known.mapInArrow(_read, f"content binary, told string, look string, n_lines long, {lists}"), "heads")
+    read = known.mapInArrow(_read, f"content binary, mark boolean, look string, n_lines long, statements array<long>, {lists}")
+    return known.select("content", "head"), materialise(read, "heads")
+
+
+def families(files: DataFrame, known: DataFrame, read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Plain families (content, family) of several contents, and masked ones (content, snapshot, family); files has (content, snapshot)."""
     plain, plain_sets = _sets(read, "plain")
     masked, masked_sets = _sets(read, "masked")
     in_plain = plain_sets.select(F.lit(False).alias("masked"), F.explode("bands").alias("bucket"), "like")
@@ -359,7 +418,7 @@ def families(files: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame,
     there = placed.select("snapshot", "like").distinct()
     in_snapshots = there.join(masked_sets, "like").select("snapshot", "like", F.explode("bands").alias("band"))
     in_masked = in_snapshots.select(F.lit(True).alias("masked"), F.xxhash64("snapshot", "band").alias("bucket"), "like")
-    links = _links(in_plain.unionByName(in_masked), known.select("content", "head"))
+    links = _links(in_plain.unionByName(in_masked), known)
     # Plain links join contents; masked ones join contents of a snapshot, whose nodes are longer.
     node = lambda c: F.concat(F.encode(F.col("snapshot").cast("string"), "utf-8"), F.lit(b"@"), c)
     both = (
@@ -367,15 +426,15 @@ def families(files: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame,
         .join(there.select("snapshot", F.col("like").alias("other")), ["snapshot", "other"])
         .select(node(F.col("like")).alias("content"), node(F.col("other")).alias("other"))
     )
-    labels = _families(links.where("not masked").select("content", "other").unionByName(both))
+    labels = components(links.where("not masked").select("content", "other").unionByName(both))
 
     def labelled(members: DataFrame, key: Column) -> DataFrame:
         named = members.withColumn("node", key).join(labels.withColumnRenamed("content", "node"), "node", "left")
-        several = named.withColumn("family", F.coalesce("family", "node")).withColumn("n", F.count("*").over(Window.partitionBy("family")))
-        return several.where("n > 1").drop("node", "n", "like")
+        named = materialise(named.withColumn("family", F.coalesce("family", "node")).drop("node", "like"), "labelled")
+        several = named.groupBy("family").agg(F.count("*").alias("n")).where("n > 1")
+        return join_counted(named, several, ["family"], "n", F.xxhash64("content")).drop("n")
 
-    evidence = read.groupBy("content").agg(F.max("told").alias("told"), F.max("look").alias("look"), F.max("n_lines").alias("n_lines"))
-    return evidence, labelled(plain, F.col("like")), labelled(placed, node(F.col("like")))
+    return labelled(plain, F.col("like")), labelled(placed, node(F.col("like")))
 
 
 def not_handwritten(files: DataFrame, heads: DataFrame) -> DataFrame:
@@ -392,34 +451,36 @@ def not_handwritten(files: DataFrame, heads: DataFrame) -> DataFrame:
         .when(_matches("rel_path", MINIFIED_PATHS), "minified")
         .alias("named"),
     )
-    evidence, plain, masked = families(rows.select("content", "snapshot"), heads)
+    known, read = read_heads(heads)
+    plain, masked = families(rows.select("content", "snapshot"), known, read)
+    evidence = _told(read, rows)
     # What the members of a plain family state together, and in how many repositories they lie.
     owned = plain.join(rows.select("content", "repo_path", "bytes"), "content", "left").join(evidence, "content", "left")
     shared = owned.groupBy("family").agg(
-        F.max(F.when(F.col("told") != "own", F.col("told"))).alias("f_told"),
+        F.max("told").alias("f_told"),
         F.max("look").alias("f_look"),
         F.max("bytes").alias("f_bytes"),
         F.max("n_lines").alias("f_lines"),
         (F.min("repo_path") != F.max("repo_path")).alias("f_spread"),
+        F.count("*").alias("n_members"),
     )
-    by_content = evidence.join(plain.join(shared, "family").drop("family"), "content", "left")
+    by_content = evidence.join(join_counted(plain, shared, ["family"], "n_members", F.xxhash64("content")).drop("family"), "content", "left")
     # Masked families of one repository and snapshot under several names.
     named = masked.join(rows.select("content", "snapshot", "name"), ["content", "snapshot"])
-    many = named.groupBy("family").agg(F.countDistinct("name").alias("n")).where(F.col("n") >= FAMILY_NAMES)
-    alike = masked.join(many, "family", "left_semi").select("content", "snapshot").distinct()
+    many = named.groupBy("family").agg(F.countDistinct("name").alias("names"), F.count("*").alias("n")).where(F.col("names") >= FAMILY_NAMES)
+    alike = join_counted(masked, many, ["family"], "n", F.xxhash64("content")).select("content", "snapshot").distinct()
 
-    own = F.col("told").eqNullSafe("own")
-    told = F.when(~own, F.coalesce("told", "f_told"))
+    told = F.coalesce("told", F.when(F.col("silent"), F.col("f_told")))
     look = F.coalesce("look", "f_look")
     size, lines = F.coalesce("bytes", "f_bytes"), F.coalesce("n_lines", "f_lines")
     data = F.when(size.isNotNull(), size >= BLOB_BYTES).otherwise(F.coalesce((lines <= FEW_LINES) | (lines >= BLOB_LINES), F.lit(True)))
     judged = rows.join(by_content, "content", "left").join(alike.withColumn("alike", F.lit(True)), ["content", "snapshot"], "left")
     kind = (
         F.when(told.isNotNull(), told)
-        .when(F.col("named").isNotNull() & ~(own & (F.col("named") == "generated")), F.col("named"))
+        .when(F.col("named").isNotNull(), F.col("named"))
         .when(look == "minified", "minified")
         .when((look == "literal") & data, "data")
-        .when(F.col("alike") & ~own, "generated")
-        .when(F.col("f_spread") & ~own, "vendored")
+        .when(F.col("alike"), "generated")
+        .when(F.col("f_spread"), "vendored")
     )
     return judged.select("entry_id", kind.alias("kind")).where("kind is not null").dropDuplicates(["entry_id"])

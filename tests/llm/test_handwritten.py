@@ -3,29 +3,64 @@ import re
 
 import pytest
 
-from patchloom.llm.handwritten import SIMILARITY, banner, layout, not_handwritten, shingles, signature, similarity, tokens
+from pyspark.sql import functions as F
+
+from patchloom.llm import skew
+from patchloom.llm.handwritten import SIMILARITY, comments_of, components, layout, marked, not_handwritten, shingles, signature, similarity, statement_words, statements, tokens
 
 CODE = "def run(self, value):\n    for item in self.items:\n        value += item.size * 3\n    return value\n"
 
 
 @pytest.mark.parametrize(
-    ("head", "kind"),
+    ("head", "mark"),
     [
-        ("# Code generated by toolx 1.2. DO NOT EDIT.\n" + CODE, "generated"), ("// <auto-generated>\n//   tool: toolx\nx();", "generated"), ("// @generated by toolx from a.idl\n", "generated"),
-        ("# AUTO-GENERATED FILE, changes will be lost\n", "generated"), ("// Automatisch erzeugt von toolx, nicht bearbeiten\n", "generated"),
-        ("# Bundled copy of libx 1.2, taken from upstream without changes.\n", "vendored"), ("//! x-kit v2 | third-party, see NOTICE for its licence\n", "vendored"),
-        ("# Once generated from a.idl, maintained by hand since version 2.\n" + CODE, "own"), ("# Emits the files that carry a 'DO NOT EDIT' banner.\n" + CODE, "own"),
-        ("// Replaces the vendored reader; we wrote our own in version 2.\n", "own"), ("# Helpers for code that was generated by toolx; this module is ours.\n", "own"),
-        ("x = 'Code generated by toolx. DO NOT EDIT.'\n", None), (CODE, None), ("", None),
+        ("# Code generated by toolx 1.2. DO NOT EDIT.\n" + CODE, True), ("// <auto-generated>\n//   tool: toolx\nx();", True), ("// @generated by toolx from a.idl\n", True),
+        ("# Permission is granted to any person.\n" * 30 + "#\n# Code generated by t. DO NOT EDIT.\n" + CODE, True),
+        ("# Once generated from a.idl, maintained by hand since version 2.\n" + CODE, False), ("# Emits the files that carry a 'DO NOT EDIT' banner.\n" + CODE, False),
+        ("x = 'Code generated by toolx. DO NOT EDIT.'\n", False), (CODE, False), ("", False),
     ],
 )
-def test_banners(head, kind):
-    assert banner(head) == kind
-
-
-@pytest.mark.parametrize(("line", "kind"), [("Code generated by toolx 1.2. DO NOT EDIT.", "generated"), ("Vendored from libx 1.2.", "vendored"), ("Maintained by hand.", "own")])
-def test_banners_below_a_long_licence(line, kind):
-    assert banner("# Permission is granted to any person.\n" * 30 + f"#\n# {line}\n" + CODE) == kind
+def test_public_marks(head, mark):
+    assert marked(comments_of(head)) is mark
+
+
+def test_statements():
+    assert statement_words("# Vendored from lib-x 1.2.3 (commit ab12cd)!") == ["vendored", "from", "N", "commit", "N"]
+    assert statements(["# Vendored from lib-x 1.2"]) == statements(["// vendored from lib-y 3"]) != []
+    assert len(statements(["# one two three four five"])) == 3 and statements(["# lib-x 1.2", "#", "# word"]) == []
+    # Shingles do not run over lines.
+    assert set(statements(["# aa bb cc dd", "# ee ff gg hh"])) == set(statements(["# aa bb cc dd"])) | set(statements(["# ee ff gg hh"]))
+
+
+def test_banners_are_learned_from_where_their_files_lie(spark):
+    rng = random.Random(7)
+    banner = lambda i: f"# Built by forge-{i} out of part{i}.spec, changes get lost\n"
+    remark = lambda i: f"# Reads whatever forge-{i} has built out of a spec\n"
+    heads = [(f"b{i}", banner(i) + unique_code(rng), 20) for i in range(60)] + [(f"r{i}", remark(i) + unique_code(rng), 20) for i in range(60)]
+    files = [(i, "p", f"gen/a{i}.py" if i % 2 else f"src/a{i}.py", f"b{i}", 9) for i in range(60)] + [(100 + i, "p", f"src/r{i}.py", f"r{i}", 9) for i in range(60)]
+    assert run(spark, files, heads) == {i: "generated" for i in range(60)}
+    assert set(run(spark, files[:60:20], heads[:60:20])) <= {20, 40}
+
+
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_components_equal_union_find(spark, monkeypatch, hot):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    rng = random.Random(hot)
+    pairs = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(40)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(70)]
+    root = {x: x for pair in pairs for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(pairs, "content long, other long")
+    got = {r.content: r.family for r in components(df).collect()}
+    assert got == {x: find(x) for pair in pairs if pair[0] != pair[1] for x in pair}
+    assert components(df.where(F.lit(False))).count() == 0
 
 
 @pytest.mark.parametrize(
