@@ -1,6 +1,6 @@
 import random
 
-from patchloom.llm import leakage
+from patchloom.llm import leakage, skew
 from patchloom.llm.leakage import leaks, words_of
 
 
@@ -30,12 +30,25 @@ def test_equals_brute_force(spark):
     assert run(spark, docs, items, words=5) == brute(docs, items, 5)
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    items = [(i, " ".join(f"{chr(97 + i)}{chr(97 + j)}" for j in range(15))) for i in range(12)]
-    docs = [(i, "x " + items[i][1] + " y") for i in range(12)]
-    expected = run(spark, docs, items)
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 200)
-    assert run(spark, docs, items) == expected and len(expected) == 12
+def test_items_beyond_the_bound_are_joined(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"w{c}" for c in "abcdefgh"]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 20)))) for i in range(30)] + [(3, None), (None, "a b c d e f g h")]
+    docs = [(i, " ".join([*(rng.choice(vocabulary) for _ in range(rng.randint(0, 60))), rng.choice(items[:30])[1]])) for i in range(50)]
+    expected = run(spark, docs + docs[:5], items, words=5)
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 10)
+    for hot in (2, 10_000):
+        monkeypatch.setattr(skew, "HOT_ROWS", hot)
+        assert run(spark, docs + docs[:5], items, words=5) == expected == brute(docs, items[:30], 5)
+    assert run(spark, [], items) == {}
+
+
+def test_a_smaller_sketch_finds_whole_items_and_may_miss_parts(spark):
+    words = [f"{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    docs = [(1, " ".join(words)), *((10 + i, " ".join(words[i : i + 13])) for i in range(52))]
+    whole = run(spark, docs, [(1, " ".join(words))])
+    part = run(spark, docs, [(1, " ".join(words))], sketch=8)
+    assert len(whole) == 53 and part.items() <= whole.items() and part[1, 1] == 52 and len(part) == 9
 
 
 def test_edges(spark):
