@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import queries_credentials, queries_handwritten, queries_overlap, queries_packing, queries_splitting, queries_topn
 
-MODULES = ["queries_handwritten", "queries_splitting", "queries_credentials", "queries_topn", "queries_packing", "queries_overlap"]
-
-
-def _merged(what: str) -> dict:
-    out: dict = {}
-    for name in MODULES:
-        out |= getattr(import_module(f"{__package__}.{name}"), what)
-    return out
+MODULES = [queries_handwritten, queries_splitting, queries_credentials, queries_topn, queries_packing, queries_overlap]
 
 
 def queries() -> dict:
-    return _merged("QUERIES")
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return _merged("SQL")
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}

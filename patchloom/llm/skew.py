@@ -13,10 +13,11 @@ HOT_KEYS = 1_000
 BLOCK = 256
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, spread: Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, spread: Column, how: str = "inner", counts: DataFrame | None = None, keep_salt: bool = False) -> DataFrame:
     """rows joined with keyed, whose column n tells how many rows (about) have the key; hot keys are salted.
 
-    counts (on, n) has one row a key; it may be left out where keyed has.
+    counts (on, n) has one row a key; it may be left out where keyed has. The rows that come out lie by
+    (on, _salt), so a grouping that has both, with keep_salt, needs no further shuffle.
 
     The hottest HOT_KEYS keys and their salts are broadcast, a bounded number; a row of one takes a salt
     by `spread`, and its key is repeated once a salt. Rows of all other keys have salt 0, which every key has.
@@ -26,7 +27,8 @@ def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, sprea
     hot = counts.where(F.col(n) >= HOT_ROWS).orderBy(F.col(n).desc(), *on).limit(HOT_KEYS).select(*on, salts.alias("_salts"))
     salted = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_salts")).cast("int"), F.lit(0)))
     repeated = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return salted.drop("_salts").join(repeated, [*on, "_salt"], how).drop("_salt")
+    joined = salted.drop("_salts").join(repeated, [*on, "_salt"], how)
+    return joined if keep_salt else joined.drop("_salt")
 
 
 def pairs_within(members: DataFrame, group: str, member: str, n: str) -> DataFrame:

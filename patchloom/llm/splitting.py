@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_counted
+
 CHARS_PER_TOKEN = 4
 OVERLAP_TOKENS = 20
 DEFAULT_LIMIT = 100_000
@@ -32,8 +34,6 @@ DEFAULT_LIMIT = 100_000
 HUNK, SYMBOL, BLANK, LINE, WORD, CHARACTER = 0.0, 0.05, 0.15, 0.4, 3.0, 9.0
 #: Weight of a piece's squared relative deviation from the even size.
 BALANCE = 1.0
-#: The salt spreads the items of one owner; owners are repeated that often in the join.
-SALTS = 16
 
 _LINE = re.compile(r"\n")
 _HUNK = re.compile(r"@@ |diff --git |--- |\+\+\+ ")
@@ -139,15 +139,16 @@ def split_all(items: DataFrame) -> DataFrame:
 def oversized(items: DataFrame, owners: DataFrame, item_id: str, owner: str, text: str, limit: str) -> DataFrame:
     """(id, limit, text) of the items whose text exceeds the limit of their owner, one row an id.
 
-    owners has one row an owner. Items without an owner have the default limit. The smallest
-    limit is found first, so that no text within it is shuffled; the rest join by owner and salt.
+    owners has one row an owner. Items without an owner have the default limit. The smallest limit is
+    found first, so that no text within it is shuffled; the rest join by owner, and the items of an
+    owner with many are spread over salts. Of several deliveries of an item the longest text holds.
     """
     held = F.when(F.col(limit) > 0, F.col(limit)).otherwise(DEFAULT_LIMIT).cast("int").alias("limit")
     limits = owners.where(F.col(owner).isNotNull()).select(F.col(owner).alias("owner"), held)
     least = F.coalesce(F.least(limits.agg(F.min("limit")).scalar(), F.lit(DEFAULT_LIMIT)), F.lit(DEFAULT_LIMIT))
     tokens = F.floor(F.length("text") / CHARS_PER_TOKEN)
-    rows = items.select(F.col(item_id).alias("id"), F.col(owner).alias("owner"), F.col(text).alias("text"))
-    rows = rows.where(tokens > least).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = rows.join(salted, ["owner", "salt"], "left").withColumn("limit", F.coalesce("limit", F.lit(DEFAULT_LIMIT)))
-    return joined.where(tokens > F.col("limit")).dropDuplicates(["owner", "salt", "id"]).select("id", "limit", "text")
+    rows = items.select(F.col(item_id).alias("id"), F.col(owner).alias("owner"), F.col(text).alias("text")).where(tokens > least)
+    counted = limits.join(rows.groupBy("owner").agg(F.count("*").alias("n")), "owner", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    joined = join_counted(rows, counted, ["owner"], "n", F.xxhash64("id"), "left", keep_salt=True).withColumn("limit", F.coalesce("limit", F.lit(DEFAULT_LIMIT)))
+    once = joined.where(tokens > F.col("limit")).groupBy("owner", "_salt", "id").agg(F.max_by("text", F.struct(F.length("text"), F.col("text"))).alias("text"), F.min("limit").alias("limit"))
+    return once.select("id", "limit", "text")
