@@ -6,6 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Characters that a strip drops: blanks, tabs, line breaks, separators and the blanks of Unicode.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same as a class of patterns.
+WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def stripped(text: Column) -> Column:
+    """A text without outer white space of any kind."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
+def is_blank(text: Column) -> Column:
+    """Whether a text is null or white space only."""
+    return F.coalesce(stripped(text) == "", F.lit(True))
+
+
 def tokens(text: Column) -> Column:
     """Characters divided by four, rounded down; null counts 0."""
     return F.floor(F.coalesce(F.length(text), F.lit(0)) / 4).cast("long")
@@ -40,40 +56,50 @@ def lines(text: Column) -> Column:
 
 
 def without_fence(text: Column) -> Column:
-    """A text without the code fence that encloses it."""
-    t = F.trim(text)
+    """A text without outer white space and the code fence that encloses it."""
+    t = stripped(text)
     parts = F.split(t, "\n")
-    last = F.element_at(parts, -1)
-    inner = F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1 - F.startswith(F.trim(last), F.lit("```")).cast("int")))
-    return F.when(F.startswith(t, F.lit("```")), F.trim(F.array_join(inner, "\n"))).otherwise(t)
+    closed = F.startswith(F.element_at(parts, -1), F.lit("```")).cast("int")
+    inner = F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1 - closed))
+    return F.when(F.startswith(t, F.lit("```")), F.array_join(inner, "\n")).otherwise(t)
 
 
 def plain_line(line: Column) -> Column:
     """A line without the `NNNN | ` that a numbered window puts before it."""
     inner = F.regexp_extract(line, r"^\s*\d+\s*\|\s*(.*)$", 1)
-    return F.trim(F.when(F.regexp_like(line, F.lit(r"^\s*\d+\s*\|")), inner).otherwise(line))
+    return stripped(F.when(F.regexp_like(line, F.lit(r"^\s*\d+\s*\|")), inner).otherwise(line))
 
 
 def truncated(text: Column, size: int, note: str = "\n... [truncated]") -> Column:
     return F.when(F.length(text) > size, F.concat(F.left(text, F.lit(size)), F.lit(note))).otherwise(text)
 
 
+# What stays of markdown's constructs, in the order in which they are read.
+CODE_LEFT_OUT = "[code omitted]"
+INLINE = [
+    ("`([^`]+)`", "$1"),  # code
+    (r"!?\[([^\]]*)\]\([^)]+\)", "$1"),  # links and images
+    (f"(?md)^#{{1,6}}{WHITE}+", ""),  # headings
+    (r"\*\*([^*]+)\*\*", "$1"),  # strong
+    (r"\*([^*]+)\*", "$1"),  # emphasis
+    (f"(?md)^[>*-]{WHITE}*", ""),  # quotes and bullets
+    ("\n{3,}", "\n\n"),  # empty lines
+]
+
+
 def plain_text(markdown: Column) -> Column:
-    """Markdown as plain text: fences, headings, emphasis, code, links, bullets and rules dropped."""
-    rewrites = [
-        (r"(?s)```[A-Za-z0-9]*\n?(.*?)```", "$1"),
-        (r"(?m)^#{1,6}\s+", ""),
-        (r"\*\*([^*]+)\*\*", "$1"),
-        (r"\*([^*\n]+)\*", "$1"),
-        (r"`([^`]+)`", "$1"),
-        (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-        (r"(?m)^\s*[-*]\s+", "- "),
-        (r"\n{3,}", "\n\n"),
-    ]
-    out = markdown
-    for pattern, replacement in rewrites:
-        out = F.regexp_replace(out, pattern, replacement)
-    return F.trim(out)
+    """Markdown as plain text: fenced code left out with a note; marks of code, links, images, headings, emphasis, quotes and bullets dropped."""
+    # Every second part between fences is code; a last one that no fence closes stays as it is.
+    parts = F.split(markdown, "```", -1)
+    unclosed = F.size(parts) % 2 == 0
+    told = F.transform(
+        parts,
+        lambda part, i: F.when(i % 2 == 0, part).when(unclosed & (i == F.size(parts) - 1), F.concat(F.lit("```"), part)).otherwise(F.lit(CODE_LEFT_OUT)),
+    )
+    out = F.array_join(told, "")
+    for construct, kept in INLINE:
+        out = F.regexp_replace(out, construct, kept)
+    return stripped(out)
 
 
 def percentage(ratio: Column) -> Column:

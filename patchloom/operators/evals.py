@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import severity_weight
-from ..functions.text import ratio
+from ..functions.text import is_blank, ratio
 
 SKIPPED_IN_FAKE_MODE = ["llm-only", "tests-enabled"]
 
@@ -38,7 +38,7 @@ def candidates(labels: DataFrame, findings: DataFrame) -> DataFrame:
     labels: scenario_id, label_seq, agent, category, severity, file_path, line_start, line_end,
     keywords. findings: scenario_id, finding (an identifier in list order), and a finding's columns.
     """
-    f = findings.where("severity <> 'info'").select(
+    f = findings.where("severity is null or severity <> 'info'").select(
         "scenario_id", "agent", "category", "finding", F.col("file_path").alias("f_path"), F.col("line_start").alias("f_line"), severity_weight(F.col("severity")).alias("weight"),
         F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("evidence", F.lit("")), F.coalesce("description", F.lit("")))).alias("hay"),
     )
@@ -88,23 +88,43 @@ def assigned(pairs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fold, "scenario_id string, label_seq long, finding long, label_weight int, weight int")
 
 
-def scenario_scores(labels: DataFrame, findings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(scenario_id, tp, fp, fn, precision, recall, f1, severity_exact, severity_within_one, evidence_ratio) from assigned pairs."""
-    shown = findings.where("severity <> 'info'").groupBy("scenario_id").agg(
-        F.count("*").alias("n_findings"), F.avg(F.when(F.trim(F.coalesce("evidence", F.lit(""))) != "", 1.0).otherwise(0.0)).alias("evidence_ratio")
+#: What makes two labels of a scenario equal.
+LABEL = ["agent", "category", "severity", "file_path", "line_start", "line_end", "keywords"]
+
+
+def missed_labels(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(scenario_id, fn): labels without a finding; of equal labels one that is met meets all."""
+    met = labels.join(pairs.select("scenario_id", "label_seq", F.lit(1).alias("met")), ["scenario_id", "label_seq"], "left")
+    alike = met.groupBy("scenario_id", *LABEL).agg(F.count("*").alias("n"), F.max("met").alias("met"))
+    return alike.groupBy("scenario_id").agg(F.sum(F.when(F.col("met").isNull(), F.col("n")).otherwise(0)).alias("fn"))
+
+
+def scenario_scores(labels: DataFrame, findings: DataFrame, pairs: DataFrame, negatives: DataFrame | None = None, clean: DataFrame | None = None) -> DataFrame:
+    """(scenario_id, tp, fp, fn, precision, recall, f1, severity_exact, severity_within_one, evidence_ratio) from assigned pairs.
+
+    negatives are labels of issues that must be absent: each one met by a finding that also met a positive label
+    is a false positive more. In the scenarios of clean (scenario_id) every finding is a false positive.
+    """
+    shown = findings.where("severity is null or severity <> 'info'").groupBy("scenario_id").agg(
+        F.count("*").alias("n_findings"), F.avg((~is_blank(F.col("evidence"))).cast("double")).alias("evidence_ratio")
     )
-    wanted = labels.groupBy("scenario_id").agg(F.count("*").alias("n_labels"))
     hits = pairs.groupBy("scenario_id").agg(
         F.count("*").alias("tp"),
         F.avg((F.col("weight") == F.col("label_weight")).cast("double")).alias("severity_exact"),
         F.avg((F.abs(F.col("weight") - F.col("label_weight")) <= 1).cast("double")).alias("severity_within_one"),
     )
-    rows = wanted.join(shown, "scenario_id", "full").join(hits, "scenario_id", "left").select(
-        "scenario_id", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.coalesce("n_labels", F.lit(0)).alias("n_labels"),
-        "severity_exact", "severity_within_one", "evidence_ratio",
-    )
-    rows = rows.withColumn("fp", F.col("n_findings") - F.col("tp")).withColumn("fn", F.col("n_labels") - F.col("tp"))
-    return with_rates(rows).drop("n_findings", "n_labels")
+    rows = missed_labels(labels, pairs).join(shown, "scenario_id", "full").join(hits, "scenario_id", "left")
+    if negatives is not None:
+        rows = rows.join(negative_violations(negatives, findings, pairs), "scenario_id", "left")
+    if clean is not None:
+        rows = rows.join(clean.select("scenario_id", F.lit(True).alias("clean")).distinct(), "scenario_id", "left")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in rows.columns else F.lit(0)
+    forgiven = F.when(F.col("clean"), 0).otherwise(count("tp")) if clean is not None else count("tp")
+    fp = count("n_findings") - forgiven + count("n_violations")
+    counted = rows.select(
+        "scenario_id", count("tp").alias("tp"), fp.alias("fp"), count("fn").alias("fn"), "severity_exact", "severity_within_one", "evidence_ratio"
+    )
+    return with_rates(counted)
 
 
 def with_rates(rows: DataFrame) -> DataFrame:
@@ -114,11 +134,24 @@ def with_rates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+#: Means over the completed scenarios that have a value, by the column of scores they are taken of.
+SUITE_MEANS = {
+    "severity_exact": "mean_severity_exact", "severity_within_one": "mean_severity_within_one", "evidence_ratio": "mean_evidence_ratio",
+    "evidence_grounded": "mean_evidence_grounded", "recommendation_match": "recommendation_accuracy", "checks_passed": "checks_passed", "judge": "mean_judge",
+}
+
+
 def suite_score(scores: DataFrame) -> DataFrame:
-    """One row: summed counts with their rates, and means of the scenarios' own ratios where they have one."""
-    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
-    means = [F.avg(c).alias(f"mean_{c}") for c in ("severity_exact", "severity_within_one", "evidence_ratio")]
-    return with_rates(scores.agg(F.count("*").alias("n_scenarios"), *sums, *means))
+    """One row: summed counts of the completed scenarios with their rates, and means of their own ratios where they have one.
+
+    scores may have status (completed or error; all are completed without it), tokens and the columns of SUITE_MEANS.
+    """
+    done = F.col("status") == "completed" if "status" in scores.columns else F.lit(True)
+    failed = F.col("status") == "error" if "status" in scores.columns else F.lit(False)
+    of_done = lambda c: F.when(done, F.col(c))
+    sums = [F.coalesce(F.sum(of_done(c)), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "tokens") if c in scores.columns]
+    means = [F.avg(of_done(c).cast("double")).alias(name) for c, name in SUITE_MEANS.items() if c in scores.columns]
+    return with_rates(scores.agg(F.count_if(done).alias("n_scenarios"), F.count_if(failed).alias("n_errors"), *sums, *means))
 
 
 def negative_violations(negatives: DataFrame, findings: DataFrame, pairs: DataFrame) -> DataFrame:

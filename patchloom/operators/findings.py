@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.paths import path_key
 from ..functions.ranks import agent_priority, severity_weight
-from ..functions.text import lines, plain_line
+from ..functions.text import is_blank, lines, plain_line, stripped
 
 CAP_PER_AGENT = 100
 NOTABLE_SHOWN = 8
@@ -74,24 +74,25 @@ def notable(findings: DataFrame) -> DataFrame:
 
 def with_evidence_only(findings: DataFrame, where: Column | None = None) -> DataFrame:
     """Without the findings (of those meeting `where`) whose evidence is blank."""
-    blank = F.coalesce(F.trim(F.col("evidence")) == "", F.lit(True))
+    blank = is_blank(F.col("evidence"))
     return findings.where(~(blank & where) if where is not None else ~blank)
 
 
 def notable_summary(findings: DataFrame, shown: int = NOTABLE_SHOWN) -> DataFrame:
-    """(review_id, agent, summary): the gravest notable findings in lines, and how many more there are."""
+    """(review_id, agent, summary): `title [severity] at path:line` of the gravest notable findings, and how many more there are."""
     keep = notable(findings)
     order = Window.partitionBy("review_id", "agent").orderBy(
         severity_weight(F.col("severity")).desc(), F.coalesce("file_path", F.lit("")), F.coalesce("line_start", F.lit(0)), F.col("seq")
     )
     top = keep.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= shown)
-    place = F.when(F.col("file_path") != "", F.concat(F.lit(" @ "), F.col("file_path"), F.coalesce(F.concat(F.lit(":"), F.col("line_start")), F.lit(""))))
-    line = F.concat(F.lit("["), F.upper(F.coalesce("severity", F.lit(""))), F.lit("] "), F.coalesce("title", F.lit("")), F.coalesce(place, F.lit("")))
-    text = top.groupBy("review_id", "agent").agg(F.array_sort(F.collect_list(F.struct("_rank", line.alias("line")))).alias("rows"))
+    # A place without a line reads `None`.
+    place = F.concat(F.lit(" at "), F.col("file_path"), F.lit(":"), F.coalesce(F.col("line_start").cast("string"), F.lit("None")))
+    told = F.concat(F.coalesce("title", F.lit("")), F.lit(" ["), F.coalesce("severity", F.lit("")), F.lit("]"), F.when(F.col("file_path") != "", place).otherwise(""))
+    text = top.groupBy("review_id", "agent").agg(F.array_sort(F.collect_list(F.struct("_rank", told.alias("told")))).alias("rows"))
     counts = keep.groupBy("review_id", "agent").agg(F.count("*").alias("n"))
-    more = F.when(F.col("n") > shown, F.concat(F.lit("\n+"), (F.col("n") - shown).cast("string"), F.lit(" more"))).otherwise("")
+    more = F.when(F.col("n") > shown, F.concat(F.lit("; +"), (F.col("n") - shown).cast("string"), F.lit(" more finding(s)"))).otherwise("")
     return text.join(counts, ["review_id", "agent"]).select(
-        "review_id", "agent", F.concat(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), more).alias("summary")
+        "review_id", "agent", F.concat(F.array_join(F.transform("rows", lambda r: r["told"]), "; "), more).alias("summary")
     )
 
 
@@ -147,7 +148,7 @@ def with_evidence(findings: DataFrame, chunks: DataFrame, sources: DataFrame) ->
     file_path, source, one row a file. The first chunk by chunk_id counts. Places that do not
     exist leave the evidence blank. Only the findings that need it are joined.
     """
-    blank = F.coalesce(F.trim(F.col("evidence")) == "", F.lit(True)) & (F.col("file_path") != "")
+    blank = is_blank(F.col("evidence")) & (F.col("file_path") != "")
     needy = findings.where(blank).withColumn("_id", F.struct("review_id", "agent", "seq"))
     c = chunks.select(
         F.col("review_id").alias("c_review"), F.col("file_path").alias("c_path"), "chunk_id", "diff_text",
@@ -180,7 +181,7 @@ def grounded(findings: DataFrame, texts: DataFrame) -> DataFrame:
     joined to look for the line; lines without such a word meet the texts of their review.
     """
     asked = findings.select("review_id", "agent", "seq", "file_path", F.explode(lines(F.col("evidence"))).alias("line"))
-    asked = asked.where("file_path <> ''").withColumn("line", plain_line(F.trim("line"))).where("line <> ''").distinct()
+    asked = asked.where("file_path <> ''").withColumn("line", plain_line(stripped(F.col("line")))).where("line <> ''").distinct()
     inner = F.regexp_extract_all("line", F.lit(r"(?<=\W)\w+(?=\W)"), F.lit(0))
     longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)
     asked = asked.withColumn("word", F.when(F.size(inner) > 0, longest["w"]))

@@ -18,22 +18,47 @@ from .diffs import LARGE_DIFF
 Client = Callable[[str], str]
 ATTEMPTS, LONGEST_WAIT = 5, 60.0
 SUMMARY_INPUT = 48_000
-# Errors worth another attempt, by status and by words in their names.
-RETRIED_STATUS = [408, 409, 429]
-RETRIED_WORDS = ["timeout", "ratelimit", "rate_limit", "overloaded", "connection", "unavailable"]
+# The status of a limit and the least of a server's faults, and words in the names of errors worth another attempt.
+LIMITED, FAULT = 429, 500
+RETRIED_WORDS = [
+    "ratelimit", "ratelimiterror", "apierror", "apitimeout", "apiconnection", "apistatus", "internalserver", "serviceunavailable", "servererror",
+    "resourceexhausted", "deadlineexceeded",
+]
+
+
+def _status(error: BaseException) -> int | None:
+    """The status of an error, or else of its response."""
+    told = getattr(error, "status_code", None)
+    if told is None:
+        told = getattr(getattr(error, "response", None), "status_code", None)
+    try:
+        return None if told is None else int(told)
+    except (TypeError, ValueError):
+        return None
 
 
 def is_retryable(error: BaseException) -> bool:
-    """A known status decides; otherwise the error's name."""
-    status = getattr(error, "status_code", None)
-    if isinstance(status, int):
-        return status in RETRIED_STATUS or status >= 500
-    name = type(error).__name__.lower()
-    return isinstance(error, TimeoutError) or any(w in name for w in RETRIED_WORDS)
+    """Lost time or connection; else a known status decides, and without one the error's name."""
+    if isinstance(error, (TimeoutError, ConnectionError)):
+        return True
+    status = _status(error)
+    if status is not None:
+        return status == LIMITED or status >= FAULT
+    return any(word in type(error).__name__.lower() for word in RETRIED_WORDS)
+
+
+def asked_wait(error: BaseException) -> float | None:
+    """Seconds that the error's response asks to wait; its headers may be in any case."""
+    headers = getattr(getattr(error, "response", None), "headers", None) or {}
+    told = {str(name).lower(): value for name, value in dict(headers).items()}.get("retry-after")
+    try:
+        return None if told is None else float(told)
+    except (TypeError, ValueError):
+        return None
 
 
 def with_retries(client: Client, attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep) -> Client:
-    """client with exponential, jittered waits between attempts; a reported Retry-After counts, up to a minute."""
+    """client with exponential, jittered waits between attempts; a wait that the response asks for counts, up to a minute."""
 
     def call(prompt: str) -> str:
         for n in range(attempts):
@@ -42,8 +67,8 @@ def with_retries(client: Client, attempts: int = ATTEMPTS, wait: Callable[[float
             except Exception as error:  # noqa: BLE001
                 if n + 1 == attempts or not is_retryable(error):
                     raise
-                asked = getattr(error, "retry_after", None)
-                wait(min(LONGEST_WAIT, float(asked) if asked else random.uniform(1.0, 2.0 ** (n + 1))))
+                asked = asked_wait(error)
+                wait(min(LONGEST_WAIT, 2.0**n + random.uniform(0.0, 1.0) if asked is None else asked))
         raise AssertionError
 
     return call

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import lines, plain_line
+from ..functions.text import WHITE_SPACE, lines, plain_line, stripped
 from ..operators import findings as ops
 from ..operators import verdict
 from ..operators.reports import parsed_answers
@@ -137,12 +137,12 @@ def evidence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plain_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence lines without the numbers before them."""
     rows = distinct(spark, sf_dir).select("review_id", "agent", "seq", F.posexplode(lines(F.col("evidence"))).alias("pos", "line"))
-    return rows.select("review_id", "agent", "seq", F.col("pos").cast("int").alias("pos"), plain_line(F.trim("line")).alias("line"))
+    return rows.select("review_id", "agent", "seq", F.col("pos").cast("int").alias("pos"), plain_line(stripped(F.col("line"))).alias("line"))
 
 
 def parsed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding written as a model's JSON answer and parsed again; malformed ones by what is wrong with the original."""
-    rows = distinct(spark, sf_dir).where("not isnan(confidence) or confidence is null")
+    rows = distinct(spark, sf_dir)
     answer = F.concat(F.lit("```json\n["), F.to_json(F.struct("category", "severity", "title", "confidence"), {"ignoreNullFields": "false"}), F.lit("]\n```"))
     return parsed_answers(rows.select("review_id", "agent", answer.alias("text"))).groupBy("agent", "malformed").agg(
         F.count("*").alias("n_items"), F.round(F.sum(F.when(~F.col("malformed"), F.col("confidence"))), 4).alias("confidence")
@@ -183,12 +183,13 @@ def _verdict(source: str, errors: str = "false") -> str:
 
 
 _ALL = "SELECT review_id, severity, confidence, 1 AS severity_row, false AS failed FROM f"
-_PLAIN = r"trim(CASE WHEN regexp_matches({0}, '^\s*\d+\s*\|') THEN regexp_extract({0}, '^\s*\d+\s*\|\s*(.*)$', 1) ELSE {0} END, ' ')"
+_STRIP = f"trim({{0}}, '{WHITE_SPACE}')"
+_PLAIN = _STRIP.format(r"CASE WHEN regexp_matches({0}, '^\s*\d+\s*\|') THEN regexp_extract({0}, '^\s*\d+\s*\|\s*(.*)$', 1) ELSE {0} END")
 _LINES = r"CASE WHEN {0} = '' THEN [] ELSE string_split_regex(regexp_replace({0}, '\r?\n$', ''), '\r?\n') END"
 _GROUNDED = f"""
   {F_ONE}, src AS (SELECT review_id, file_path, max(source) AS source FROM file_sources GROUP BY ALL),
   c AS (SELECT DISTINCT ON (chunk_id) * FROM diff_chunks),
-  asked AS (SELECT DISTINCT review_id, agent, seq, file_path, {_PLAIN.format("trim(line, ' ')")} AS line
+  asked AS (SELECT DISTINCT review_id, agent, seq, file_path, {_PLAIN.format(_STRIP.format("line"))} AS line
             FROM (SELECT *, unnest({_LINES.format("evidence")}) AS line FROM f WHERE severity IS NULL OR severity <> 'info') WHERE file_path <> ''),
   hits AS (
     SELECT DISTINCT a.review_id, a.agent, a.seq FROM asked a JOIN c USING (review_id) WHERE line <> '' AND contains(c.diff_text, line)
@@ -222,9 +223,9 @@ SQL = {
     "notable_summary": f"""WITH {F_ONE}, n AS (SELECT *, row_number() OVER (PARTITION BY review_id, agent
             ORDER BY {WEIGHT} DESC, coalesce(file_path, ''), coalesce(line_start, 0), seq) AS r,
             count(*) OVER (PARTITION BY review_id, agent) AS n FROM f WHERE severity IS NULL OR severity <> 'info')
-        SELECT review_id, agent, string_agg('[' || upper(coalesce(severity, '')) || '] ' || coalesce(title, '')
-          || CASE WHEN file_path <> '' THEN ' @ ' || file_path || coalesce(':' || line_start, '') ELSE '' END, chr(10) ORDER BY r)
-          || CASE WHEN max(n) > 8 THEN chr(10) || '+' || (max(n) - 8) || ' more' ELSE '' END AS summary
+        SELECT review_id, agent, string_agg(coalesce(title, '') || ' [' || coalesce(severity, '') || ']'
+          || CASE WHEN file_path <> '' THEN ' at ' || file_path || ':' || coalesce(line_start::VARCHAR, 'None') ELSE '' END, '; ' ORDER BY r)
+          || CASE WHEN max(n) > 8 THEN '; +' || (max(n) - 8) || ' more finding(s)' ELSE '' END AS summary
         FROM n WHERE r <= 8 GROUP BY review_id, agent""",
     "findings_table": f"""WITH {F_ONE} SELECT review_id, agent, seq, CAST(row_number() OVER (PARTITION BY review_id
           ORDER BY {WEIGHT} DESC, {PRIORITY}, agent, seq) AS INTEGER) AS position FROM f WHERE severity IS NULL OR severity <> 'info' QUALIFY position <= 100""",
@@ -232,7 +233,7 @@ SQL = {
         SELECT 1 FROM f k WHERE k.agent = 'security' AND k.severity = 'critical' AND k.review_id = f.review_id AND k.title = f.title)""",
     "concatenated_reports": f"""WITH {F_ONE} SELECT review_id, agent, title,
         seq + (CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END * 1099511627776) AS seq FROM f""",
-    "evidence_only": f"WITH {F_ONE} SELECT agent, count(*) AS n_findings FROM f WHERE trim(evidence, ' ') <> '' GROUP BY agent",
+    "evidence_only": f"WITH {F_ONE} SELECT agent, count(*) AS n_findings FROM f WHERE {_STRIP.format("evidence")} <> '' GROUP BY agent",
     "evidence_grounded": f"WITH {_GROUNDED} SELECT * FROM g",
     "grounded_ratio": f"WITH {_GROUNDED} SELECT review_id, round(avg(grounded::INT), 6) AS grounded_ratio FROM g GROUP BY review_id",
     "evidence_window": f"""WITH src AS (SELECT review_id, file_path, max(source) AS source FROM file_sources GROUP BY ALL),
@@ -255,10 +256,9 @@ SQL = {
         WHERE trim(coalesce(nullif(a, ''), b), ' ') <> ''""",
     "plain_evidence": f"""WITH {F_ONE}, l AS (SELECT review_id, agent, seq, {_LINES.format("evidence")} AS ls FROM f),
         x AS (SELECT review_id, agent, seq, unnest(range(0, len(ls)))::INT AS pos, unnest(ls) AS line FROM l)
-        SELECT review_id, agent, seq, pos, {_PLAIN.format("trim(line, ' ')")} AS line FROM x""",
-    "parsed_findings": f"""WITH {F_ONE}, v AS (SELECT agent, confidence,
-          severity IS NULL OR severity NOT IN ('info', 'low', 'medium', 'high', 'critical') OR title IS NULL
-          OR category NOT IN ('correctness', 'security', 'code_quality', 'testing', 'architecture', 'performance', 'maintainability', 'style')
-          OR coalesce(confidence < 0 OR confidence > 1, true) AS malformed FROM f WHERE confidence IS NULL OR NOT isnan(confidence))
-        SELECT agent, malformed, count(*) AS n_items, round(sum(CASE WHEN NOT malformed THEN confidence END), 4) AS confidence FROM v GROUP BY ALL""",
+        SELECT review_id, agent, seq, pos, {_PLAIN.format(_STRIP.format("line"))} AS line FROM x""",
+    "parsed_findings": f"""WITH {F_ONE}, v AS (SELECT agent, coalesce(confidence, 0.7) AS c,
+          severity IS NULL OR lower(severity) NOT IN ('critical', 'high', 'medium', 'low', 'info') OR title IS NULL
+          OR coalesce(isnan(confidence) OR confidence < 0 OR confidence > 1, false) AS malformed FROM f)
+        SELECT agent, malformed, count(*) AS n_items, round(sum(CASE WHEN NOT malformed THEN c END), 4) AS confidence FROM v GROUP BY ALL""",
 }

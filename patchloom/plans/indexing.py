@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import paths
 from ..operators import graph, indexing, store
+from ..operators.evals import missing_dependents
 from ..operators.symbols import enclosing_symbols
 from ..sources.tables import table
 
@@ -137,13 +138,53 @@ def reverse_dependencies_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First dependents of the files that each snapshot's symbols are defined in by its twenty lowest paths."""
-    order = Window.partitionBy(*RUN).orderBy("rel_path")
-    changed = symbols(spark, sf_dir).select(*RUN, "rel_path").distinct().withColumn("n", F.row_number().over(order)).where("n <= 20")
-    found = graph.reverse_dependencies(edges(spark, sf_dir), changed, symbols(spark, sf_dir))
+    """The first dependents of the files that the reviews of each snapshot change."""
+    found = graph.reverse_dependencies(edges(spark, sf_dir), changed_files(spark, sf_dir), symbols(spark, sf_dir))
     return graph.first_dependents(found, files(spark, sf_dir)).withColumn("position", F.col("position").cast("int"))
 
 
+def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Import edges as the calls imply them: a Python file imports the module of every other one that it calls into."""
+    calls = edges(spark, sf_dir).where("caller_path like '%.py' and callee_path <> caller_path")
+    module = paths.module_name(F.col("callee_path"))
+    return calls.select(*RUN, F.col("caller_path").alias("rel_path"), module.alias("module"), F.col("callee_name").alias("imported_name")).where("module <> ''").distinct()
+
+
+def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imports(spark, sf_dir).groupBy(*RUN, "rel_path", "module").agg(F.count("*").alias("n_names"))
+
+
+def importers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that import a module of a changed file."""
+    changed = changed_files(spark, sf_dir).select(*RUN, paths.module_name(F.col("rel_path")).alias("module")).where("module <> ''")
+    return graph.importers_of(imports(spark, sf_dir), changed).select(*RUN, "rel_path", "module").distinct()
+
+
+def dependents_by_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callers of and importers from changed files, and of changed modules alone where their symbols are not known."""
+    some = symbols(spark, sf_dir).where("kind = 'class'")
+    return graph.reverse_dependencies(edges(spark, sf_dir), changed_files(spark, sf_dir), some, imports(spark, sf_dir))
+
+
+def required_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a snapshot's importers of changed modules are all among its callers of changed files."""
+    checked = reverse_dependencies(spark, sf_dir).groupBy(RUN).agg(F.collect_set("rel_path").alias("checked"))
+    wanted = importers(spark, sf_dir).groupBy(RUN).agg(F.collect_set("rel_path").alias("wanted"))
+    rows = wanted.join(checked, RUN, "left")
+    return rows.select(*RUN, missing_dependents(F.col("wanted"), F.coalesce("checked", F.array().cast("array<string>"))).alias("missing"))
+
+
+def import_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.graph_stats(symbols(spark, sf_dir), edges(spark, sf_dir), imports(spark, sf_dir))
+
+
+def resolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the names of calls lead to by the caller's own file and its imports, as an extractor without types resolves them."""
+    calls = edges(spark, sf_dir).select(*RUN, "caller_path", "caller_qname", "callee_name", "line")
+    named = imports(spark, sf_dir).withColumn("alias", F.lit(None).cast("string"))
+    return graph.resolved_calls(calls, symbols(spark, sf_dir), named, files(spark, sf_dir))
+
+
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_stats(symbols(spark, sf_dir), edges(spark, sf_dir))
 
@@ -174,7 +215,7 @@ QUERIES = {
     for f in (
         language_counts, path_kinds, path_keys, module_names, module_files, incremental_reuse, files_to_parse, latest_run, latest_wins_upsert,
         existence_probe, point_read, enclosing_symbol, callers_of, reverse_dependencies, reverse_dependencies_by_name, snapshot_dependents,
-        graph_stats, symbol_overview, symbols_per_file, symbol_calls, edges_of_file,
+        import_edges, importers, dependents_by_imports, required_dependents, import_stats, resolved_calls, graph_stats, symbol_overview, symbols_per_file, symbol_calls, edges_of_file,
     )
 }
 
@@ -200,7 +241,37 @@ def _dependents(match: str) -> str:
 _SAME_PATH = "AND s.rel_path = e.callee_path"
 _MODULE = r"CASE WHEN rel_path LIKE '%.py' THEN regexp_replace(replace(regexp_replace(rel_path, '\.py$', ''), '/', '.'), '(^|\.)__init__$', '') ELSE '' END"
 
+def _module_of(path: str) -> str:
+    return _MODULE.replace("rel_path", path)
+
+
+_IMPORTS = f"""im AS (SELECT DISTINCT repo_path, git_hash, caller_path AS rel_path, {_module_of("callee_path")} AS module, callee_name AS imported_name
+  FROM ce WHERE caller_path LIKE '%.py' AND callee_path <> caller_path AND {_module_of("callee_path")} <> '')"""
+_IMPORTERS = f"""ip AS (SELECT DISTINCT im.repo_path, im.git_hash, im.rel_path, im.module FROM im JOIN (
+  SELECT repo_path, git_hash, {_MODULE} AS module FROM changed WHERE {_MODULE} <> '') c USING (repo_path, git_hash, module))"""
+_HOME = "im.repo_path = e.repo_path AND im.git_hash = e.git_hash AND im.rel_path = e.caller_path AND im.imported_name = e.callee_name"
+
 SQL = {
+    "import_edges": f"WITH {_CE}, {_IMPORTS} SELECT repo_path, git_hash, rel_path, module, count(*) AS n_names FROM im GROUP BY ALL",
+    "importers": f"WITH {_CE}, {_CHANGED}, {_IMPORTS}, {_IMPORTERS} SELECT * FROM ip",
+    "dependents_by_imports": f"""WITH {_CE}, {_CHANGED}, {_IMPORTS}, {_IMPORTERS}, sy AS (SELECT DISTINCT ON (symbol_id) * FROM symbols WHERE kind = 'class'),
+        d AS ({_dependents(_SAME_PATH)} UNION SELECT repo_path, git_hash, rel_path FROM ip)
+        SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM changed x WHERE x.repo_path = d.repo_path AND x.git_hash = d.git_hash AND x.rel_path = d.rel_path)""",
+    "required_dependents": f"""WITH {_SY}, {_CE}, {_CHANGED}, {_IMPORTS}, {_IMPORTERS}, d AS ({_dependents(_SAME_PATH)})
+        SELECT ip.repo_path, ip.git_hash, count(*) FILTER (d.rel_path IS NULL) > 0 AS missing FROM (SELECT DISTINCT repo_path, git_hash, rel_path FROM ip) ip
+        LEFT JOIN d ON d.repo_path = ip.repo_path AND d.git_hash = ip.git_hash AND d.rel_path = ip.rel_path GROUP BY ALL""",
+    "import_stats": f"""WITH {_SY}, {_CE}, {_IMPORTS}, a AS (SELECT repo_path, git_hash, count(DISTINCT rel_path) AS n_files, count(*) AS n_symbols FROM sy GROUP BY ALL),
+        b AS (SELECT repo_path, git_hash, count(*) AS n_calls FROM ce GROUP BY ALL), c AS (SELECT repo_path, git_hash, count(*) AS n_imports FROM im GROUP BY ALL)
+        SELECT repo_path, git_hash, coalesce(n_files, 0) AS n_files, coalesce(n_symbols, 0) AS n_symbols, coalesce(n_calls, 0) AS n_calls, coalesce(n_imports, 0) AS n_imports
+        FROM a FULL JOIN b USING (repo_path, git_hash) FULL JOIN c USING (repo_path, git_hash)""",
+    "resolved_calls": f"""WITH {_FE}, {_SY}, {_CE}, {_IMPORTS}, e AS (SELECT DISTINCT repo_path, git_hash, caller_path, caller_qname, callee_name, line FROM ce),
+        m AS (SELECT DISTINCT repo_path, git_hash, module FROM im), o AS (SELECT *, replace(module, '.', '/') || '/__init__.py' AS a, replace(module, '.', '/') || '.py' AS b FROM m),
+        home AS (SELECT o.repo_path, o.git_hash, o.module, arg_min(f.rel_path, f.rel_path = o.b) AS path FROM o JOIN fe f ON f.repo_path = o.repo_path AND f.git_hash = o.git_hash AND f.rel_path IN (o.a, o.b) GROUP BY ALL),
+        t AS (SELECT e.*, 0 AS choice, s.rel_path AS p, s.qualified_name AS q FROM e JOIN sy s ON s.repo_path = e.repo_path AND s.git_hash = e.git_hash AND s.rel_path = e.caller_path AND s.name = e.callee_name
+          UNION ALL SELECT e.*, 1, s.rel_path, s.qualified_name FROM e JOIN im ON {_HOME} JOIN home h ON h.repo_path = im.repo_path AND h.git_hash = im.git_hash AND h.module = im.module
+            JOIN sy s ON s.repo_path = e.repo_path AND s.git_hash = e.git_hash AND s.rel_path = h.path AND s.name = e.callee_name),
+        best AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY repo_path, git_hash, caller_path, caller_qname, callee_name, line ORDER BY choice, p, q) = 1)
+        SELECT e.*, best.p AS callee_path, best.q AS callee_qname FROM e LEFT JOIN best USING (repo_path, git_hash, caller_path, caller_qname, callee_name, line)""",
     "language_counts": f"WITH {_FE} SELECT {_LANGUAGE} AS found, lower(trim(language, ' ')) AS stated, count(*) AS n_files FROM fe GROUP BY ALL",
     "path_kinds": f"""WITH {_FE}, k AS (SELECT rel_path, regexp_replace(rel_path, '^[./]+', '') AS key FROM fe),
         x AS (SELECT rel_path, starts_with(key, 'tests/') OR starts_with(key, 'test/') OR starts_with(regexp_extract(key, '([^/]*)$', 1), 'test_') OR ends_with(key, '_test.py') OR regexp_extract(key, '([^/]*)$', 1) = 'conftest.py' AS is_test,
@@ -236,8 +307,7 @@ SQL = {
     "callers_of": "SELECT DISTINCT edge_id FROM call_edges WHERE callee_name = 'join'",
     "reverse_dependencies": f"WITH {_SY}, {_CE}, {_CHANGED} {_dependents(_SAME_PATH)}",
     "reverse_dependencies_by_name": f"WITH {_SY}, {_CE}, {_CHANGED} {_dependents('')}",
-    "snapshot_dependents": f"""WITH {_FE}, {_SY}, {_CE}, changed AS (SELECT * FROM (SELECT DISTINCT repo_path, git_hash, rel_path FROM sy)
-          QUALIFY row_number() OVER (PARTITION BY repo_path, git_hash ORDER BY rel_path) <= 20), d AS ({_dependents(_SAME_PATH)})
+    "snapshot_dependents": f"""WITH {_FE}, {_SY}, {_CE}, {_CHANGED}, d AS ({_dependents(_SAME_PATH)})
         SELECT repo_path, git_hash, rel_path, CAST(row_number() OVER (PARTITION BY repo_path, git_hash ORDER BY rel_path) AS INT) AS position FROM d
         WHERE EXISTS (SELECT 1 FROM fe f WHERE f.repo_path = d.repo_path AND f.git_hash = d.git_hash AND f.rel_path = d.rel_path) QUALIFY position <= 15""",
     "graph_stats": f"""WITH {_SY}, {_CE}, a AS (SELECT repo_path, git_hash, count(DISTINCT rel_path) AS n_files, count(*) AS n_symbols FROM sy GROUP BY ALL),

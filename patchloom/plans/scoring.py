@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import WHITE_SPACE
 from ..operators import evals
 from ..operators.findings import distinct_findings
 from ..sources.tables import table
@@ -14,7 +15,7 @@ _LABEL = "agent = 'security' and severity in ('critical', 'high') and file_path
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = distinct_findings(table(spark, sf_dir, "findings")).where("severity in ('critical', 'high', 'medium', 'low', 'info')")
+    rows = distinct_findings(table(spark, sf_dir, "findings"))
     return rows.withColumn("scenario_id", F.col("review_id")).withColumn("finding", F.col("seq").cast("long"))
 
 
@@ -33,15 +34,48 @@ def label_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.candidates(_labels(spark, sf_dir), _findings(spark, sf_dir)).select("scenario_id", "label_seq", "finding", "off_line", "distance")
 
 
-def scenario_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with negative labels: nothing of the category style may be found; reviews that run no tests and have no message should be clean."""
     labels, findings = _labels(spark, sf_dir), _findings(spark, sf_dir)
-    return evals.scenario_scores(labels, findings, evals.assigned(evals.candidates(labels, findings)))
+    negatives = labels.where("category = 'style'")
+    clean = table(spark, sf_dir, "reviews").where("not run_tests and commit_message is null").select(F.col("review_id").alias("scenario_id"))
+    return evals.scenario_scores(labels, findings, evals.assigned(evals.candidates(labels, findings)), negatives, clean)
+
+
+def scenario_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
+
+
+def scenario_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the scores does not hang on which finding a label takes: findings told, with evidence, and labels asked."""
+    scores = _scored(spark, sf_dir).select("scenario_id", F.round("evidence_ratio", 6).alias("evidence_ratio"), (F.col("tp") + F.col("fn")).alias("n_labels"))
+    return scores.where("evidence_ratio is not null")
 
 
 def suite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.suite_score(scenario_scores(spark, sf_dir))
 
 
+def suite_of_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suite's score over figures that each review has of itself; reviews without a usable budget count as failed."""
+    rows = table(spark, sf_dir, "reviews").groupBy("review_id").agg(F.max(F.coalesce("max_tokens", F.lit(0))).alias("tokens"), F.bool_or("run_tests").alias("ran"))
+    findings = _findings(spark, sf_dir).groupBy("review_id").agg(
+        F.count_if(F.col("severity").isin("critical", "high")).alias("tp"), F.count_if(F.col("severity") == "info").alias("fp"), F.count_if(F.col("line_start").isNull()).alias("fn")
+    )
+    scores = rows.join(findings, "review_id").select(
+        F.when(F.col("tokens") > 0, "completed").otherwise("error").alias("status"), "tokens", "tp", "fp", "fn", F.col("ran").alias("recommendation_match"), F.when(F.col("ran"), F.col("tp") > F.col("fp")).alias("checks_passed")
+    )
+    out = evals.suite_score(scores)
+    return out.select("n_scenarios", "n_errors", "tp", "fp", "fn", "tokens", *[F.round(c, 9).alias(c) for c in ("recommendation_accuracy", "checks_passed", "precision", "recall", "f1")])
+
+
+def missed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels missed if each took the finding it was made of and those of odd lines took none; equal labels are one."""
+    labels = _labels(spark, sf_dir)
+    pairs = labels.where("label_seq % 3 = 0").select("scenario_id", "label_seq")
+    return evals.missed_labels(labels, pairs)
+
+
 def finding_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By agent: shares of grave, merely noted and unlocated findings as rates with zero guards."""
     rows = _findings(spark, sf_dir).groupBy("agent").agg(
@@ -83,19 +117,34 @@ def review_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (label_candidates, scenario_scores, suite_score, finding_rates, severity_calibration, scenario_selection, review_coverage)
+    for f in (label_candidates, scenario_scores, scenario_ratios, suite_score, suite_of_reviews, missed_labels, finding_rates, severity_calibration, scenario_selection, review_coverage)
 }
 
-_F = """f AS (SELECT DISTINCT ON (review_id, agent, seq) *, review_id AS scenario_id FROM findings),
-  g AS (SELECT * FROM f WHERE severity IN ('critical', 'high', 'medium', 'low', 'info'))"""
+_F = "g AS (SELECT DISTINCT ON (review_id, agent, seq) *, review_id AS scenario_id FROM findings)"
 _WEIGHT = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 
+_L = """l AS (SELECT *, seq % 2 = 1 AS odd FROM g WHERE agent = 'security' AND severity IN ('critical', 'high') AND file_path <> '' AND line_start IS NOT NULL)"""
+
 SQL = {
+    "scenario_ratios": f"""WITH {_F}, {_L}, n AS (SELECT scenario_id, round(avg((trim(coalesce(evidence, ''), '{WHITE_SPACE}') <> '')::INT), 6) AS evidence_ratio
+          FROM g WHERE severity IS NULL OR severity <> 'info' GROUP BY scenario_id)
+        SELECT scenario_id, evidence_ratio, (SELECT count(*) FROM l WHERE l.scenario_id = n.scenario_id) AS n_labels FROM n""",
+    "suite_of_reviews": f"""WITH {_F}, r AS (SELECT review_id, max(coalesce(max_tokens, 0)) AS tokens, bool_or(run_tests) AS ran FROM reviews GROUP BY review_id),
+        c AS (SELECT review_id, count(*) FILTER (severity IN ('critical', 'high')) AS tp, count(*) FILTER (severity = 'info') AS fp, count(*) FILTER (line_start IS NULL) AS fn FROM g GROUP BY review_id),
+        d AS (SELECT * FROM r JOIN c USING (review_id)), a AS (
+          SELECT count(*) FILTER (tokens > 0) AS n_scenarios, count(*) FILTER (tokens <= 0) AS n_errors, CAST(sum(tp) FILTER (tokens > 0) AS BIGINT) AS tp, CAST(sum(fp) FILTER (tokens > 0) AS BIGINT) AS fp,
+            CAST(sum(fn) FILTER (tokens > 0) AS BIGINT) AS fn, CAST(sum(tokens) FILTER (tokens > 0) AS BIGINT) AS tokens, round(avg(ran::INT) FILTER (tokens > 0), 9) AS recommendation_accuracy,
+            round(avg((tp > fp)::INT) FILTER (tokens > 0 AND ran), 9) AS checks_passed FROM d),
+        p AS (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS q FROM a)
+        SELECT n_scenarios, n_errors, tp, fp, fn, tokens, recommendation_accuracy, checks_passed, round(p, 9) AS precision, round(q, 9) AS recall, round(2 * p * q / (p + q), 9) AS f1 FROM p""",
+    "missed_labels": f"""WITH {_F}, {_L}, k AS (SELECT scenario_id, seq, (category, severity, CASE WHEN odd THEN (file_path, line_start) END, CASE WHEN odd THEN NULL ELSE string_split(title, ' ')[2] END)::VARCHAR AS k FROM l),
+        m AS (SELECT scenario_id, k, count(*) AS n, bool_or(seq % 3 = 0) AS met FROM k GROUP BY ALL)
+        SELECT scenario_id, CAST(sum(CASE WHEN met THEN 0 ELSE n END) AS BIGINT) AS fn FROM m GROUP BY scenario_id""",
     "label_candidates": f"""WITH {_F}, l AS (SELECT * FROM g WHERE agent = 'security' AND severity IN ('critical', 'high') AND file_path <> '' AND line_start IS NOT NULL)
         SELECT l.scenario_id, CAST(l.seq AS BIGINT) AS label_seq, CAST(g.seq AS BIGINT) AS finding,
           CASE WHEN l.seq % 2 = 1 AND g.line_start = greatest(1, l.line_start - 2) THEN 0 ELSE 1 END AS off_line,
           abs(coalesce(g.line_start, 0) - CASE WHEN l.seq % 2 = 1 THEN greatest(1, l.line_start - 2) ELSE 0 END) AS distance
-        FROM l JOIN g ON g.scenario_id = l.scenario_id AND g.agent = l.agent AND g.category = l.category AND g.severity <> 'info'
+        FROM l JOIN g ON g.scenario_id = l.scenario_id AND g.agent = l.agent AND g.category = l.category AND coalesce(g.severity <> 'info', true)
           AND CASE WHEN l.seq % 2 = 1 THEN g.file_path = l.file_path AND g.line_start BETWEEN greatest(1, l.line_start - 2) AND l.line_start + 2
               ELSE contains(lower(coalesce(g.title, '') || chr(10) || coalesce(g.evidence, '') || chr(10) || coalesce(g.description, '')), lower(string_split(l.title, ' ')[2])) END""",
     "finding_rates": f"""WITH {_F}, c AS (SELECT agent, count(*) FILTER (severity IN ('critical', 'high')) AS tp, count(*) FILTER (severity = 'info') AS fp,

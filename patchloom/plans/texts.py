@@ -91,19 +91,16 @@ QUERIES = {
 }
 
 _D = "d AS (SELECT DISTINCT ON (doc_id) * FROM documents)"
-_PLAIN = "text"
-for _pattern, _to in [
-    (r"(?s)```[A-Za-z0-9]*\n?(.*?)```", r"\1"), (r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*\n]+)\*", r"\1"),
-    (r"`([^`]+)`", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"(?m)^\s*[-*]\s+", "- "), (r"\n{3,}", "\n\n"),
-]:
-    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '{_to}', 'g')"
+_PLAIN = f"regexp_replace(text, '(?s)```.*?```', '{text.CODE_LEFT_OUT}', 'g')"
+for _construct, _kept in text.INLINE:
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_construct.replace('(?md)', '(?m)')}', '{_kept.replace('$1', chr(92) + '1')}', 'g')"
 
 SQL = {
     "content_hash": f"WITH {_D} SELECT doc_id, sha256(text) AS content_hash FROM d",
     "document_tokens": f"WITH {_D} SELECT kind, CAST(sum(coalesce(length(text), 0) // 4) AS BIGINT) AS n_tokens, count(*) AS n_documents FROM d GROUP BY kind",
     "used_tokens": f"WITH {_D} SELECT source, kind, CAST(sum(CASE WHEN n_chars IS NOT NULL THEN n_chars + 10 ELSE greatest(1, coalesce(length(text), 0) // 4) END) AS BIGINT) AS tokens FROM d GROUP BY ALL",
-    "markdown_to_plain": f"WITH {_D} SELECT doc_id, sha256(trim({_PLAIN}, ' ')) AS plain_hash FROM d",
-    "without_fences": f"WITH {_D} SELECT doc_id, sha256(trim(text, ' ')) AS body_hash FROM d",
+    "markdown_to_plain": f"WITH {_D} SELECT doc_id, sha256(trim({_PLAIN}, '{text.WHITE_SPACE}')) AS plain_hash FROM d",
+    "without_fences": f"WITH {_D} SELECT doc_id, sha256(text) AS body_hash FROM d",
     "truncated_texts": f"""WITH {_D}, t AS (SELECT doc_id, CASE WHEN length(text) > 8000 THEN left(text, 8000) || chr(10) || '... [truncated]' ELSE text END AS t FROM d)
         SELECT doc_id, CAST(length(t) AS INT) AS n_chars, sha256(t) AS hash FROM t""",
     "line_counts": rf"""WITH {_D} SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split_regex(regexp_replace(text, '\r?\n$', ''), '\r?\n')) END::INT AS n_lines FROM d WHERE text IS NOT NULL""",

@@ -72,3 +72,26 @@ def test_negative_labels(spark, rows_of):
     pairs = evals.assigned(evals.candidates(lab, fin))
     absent = spark.createDataFrame([label(7, line=5), label(8, line=50)], LABEL)
     assert rows_of(evals.negative_violations(absent, fin, pairs)) == [("s", 1)]
+
+
+def test_scores_with_negatives_clean_scenarios_and_equal_labels(spark):
+    # Two equal labels of which one finding meets one, a label that nothing meets, a negative label met by the used finding.
+    lab = spark.createDataFrame([label(1), label(2), label(3, line=70)], LABEL)
+    fin = spark.createDataFrame([found(1), found(2, line=50)], FINDING)
+    pairs = evals.assigned(evals.candidates(lab, fin))
+    absent = spark.createDataFrame([label(7, line=5)], LABEL)
+    (r,) = evals.scenario_scores(lab, fin, pairs, absent).collect()
+    assert (r.tp, r.fp, r.fn) == (1, 2, 1)
+    clean = spark.createDataFrame([("s",)], "scenario_id string")
+    (r,) = evals.scenario_scores(lab, fin, pairs, absent, clean).collect()
+    assert (r.tp, r.fp, r.fn) == (1, 3, 1)
+    (r,) = evals.scenario_scores(lab.limit(0), fin, pairs.limit(0), clean=clean).collect()
+    assert (r.tp, r.fp, r.fn, r.precision, r.f1) == (0, 2, 0, 0.0, 0.0)
+
+
+def test_suite_of_completed_scenarios(spark):
+    rows = spark.createDataFrame([("completed", 1, 1, 0, 7, True), ("completed", 1, 0, 1, 5, None), ("error", 9, 9, 9, 9, False)], "status string, tp long, fp long, fn long, tokens long, recommendation_match boolean")
+    (r,) = evals.suite_score(rows).collect()
+    assert (r.n_scenarios, r.n_errors, r.tp, r.fp, r.fn, r.tokens, r.recommendation_accuracy) == (2, 1, 2, 1, 1, 12, 1.0)
+    (r,) = evals.suite_score(rows.limit(0)).collect()
+    assert (r.n_scenarios, r.tp, r.precision, r.recommendation_accuracy) == (0, 0, 0.0, None)

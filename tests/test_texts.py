@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,12 +29,26 @@ def test_lines(spark, value, n):
 
 def test_plain_text(spark):
     md = "# Head\n\n**bold** and *thin* `code` [link](http://x)\n* item\n```py\nx = 1\n```\n\n\n\nend"
-    assert one(spark, md, text.plain_text) == "Head\n\nbold and thin code link\n- item\nx = 1\n\n\nend".replace("\n\n\n", "\n\n")
+    assert one(spark, md, text.plain_text) == "Head\n\nbold and thin code link\nitem\n[code omitted]\n\nend"
+
+
+@pytest.mark.parametrize(
+    ("md", "plain"),
+    [("![a](b) [](c)", "a"), ("> quoted\n>> twice\n- one\n-two\n  - kept", "quoted\n> twice\none\ntwo\n  - kept"), ("a ```x``` b ``` open `c`", "a [code omitted] b `` open c`"),
+     ("*a\nb*", "a\nb"), ("####### seven", "####### seven"), ("\u2003 a \t\u00a0", "a"), ("", ""), (None, None), ("`a` ``", "a ``"), ("line\r\n# head\r\n\n\n\nend", "line\r\nhead\r\n\nend")],
+)
+def test_plain_text_constructs(spark, md, plain):
+    assert one(spark, md, text.plain_text) == plain
+
+
+@pytest.mark.parametrize(("value", "expected"), [("\n\t x \x0b\x1f", "x"), ("\u3000a b\u2028", "a b"), ("", ""), (None, None)])
+def test_stripped(spark, value, expected):
+    assert one(spark, value, text.stripped) == expected
 
 
 def test_retries():
     class Limited(Exception):
-        status_code, retry_after = 429, 120
+        response = SimpleNamespace(status_code="429", headers={"Retry-After": "120"})
 
     waits, calls = [], []
 
@@ -43,7 +59,13 @@ def test_retries():
         return "ok"
 
     assert with_retries(client, wait=waits.append)("p") == "ok" and waits == [60.0, 60.0]
-    assert is_retryable(TimeoutError()) and not is_retryable(ValueError()) and not is_retryable(type("E", (Exception,), {"status_code": 400})())
+    def fault(base=Exception, name="E", **members):
+        return type(name, (base,), members)()
+
+    assert is_retryable(TimeoutError()) and is_retryable(ConnectionResetError()) and not is_retryable(ValueError())
+    assert is_retryable(fault(status_code=503)) and is_retryable(fault(response=SimpleNamespace(status_code=500)))
+    assert not any(is_retryable(fault(status_code=s)) for s in (400, 408, 409)) and is_retryable(fault(TimeoutError, status_code=400))
+    assert is_retryable(fault(name="ServiceUnavailable")) and not is_retryable(fault(name="OverloadedError")) and is_retryable(fault(name="APIError", status_code="odd"))
 
 
 def test_answers(spark, rows_of):
