@@ -74,6 +74,30 @@ def truncated(text: Column, size: int, note: str = "\n... [truncated]") -> Colum
     return F.when(F.length(text) > size, F.concat(F.left(text, F.lit(size)), F.lit(note))).otherwise(text)
 
 
+#: Characters of a diff that a prompt shows.
+SHOWN_DIFF = 8_000
+
+
+def truncation_note(diff: Column) -> Column:
+    """What a report says of a diff that is longer than what a prompt shows; else ''."""
+    n = F.length(diff)
+    note = F.concat(
+        F.lit(f"LLM diff excerpt truncated to first {SHOWN_DIFF} chars of "), n.cast("string"), F.lit(" (full raw diff scanned by the deterministic detector).")
+    )
+    return F.when(n > SHOWN_DIFF, note).otherwise(F.lit(""))
+
+
+def content_text(content: str) -> Column:
+    """Text of a model's answer in the variant column `content`: a string, or the strings and text or content members of a list, in lines."""
+    member = "coalesce(nullif(try_variant_get(x, '$.text', 'string'), ''), nullif(try_variant_get(x, '$.content', 'string'), ''))"
+    part = f"case when schema_of_variant(x) like 'OBJECT%' then {member} when schema_of_variant(x) = 'STRING' then try_variant_get(x, '$', 'string') end"
+    parts = f"filter(transform(try_variant_get({content}, '$', 'array<variant>'), x -> {part}), x -> x is not null)"
+    return F.expr(
+        f"case when schema_of_variant({content}) = 'STRING' then try_variant_get({content}, '$', 'string')"
+        f" when size({parts}) > 0 then array_join({parts}, '\\n') else to_json({content}) end"
+    )
+
+
 # What stays of markdown's constructs, in the order in which they are read.
 CODE_LEFT_OUT = "[code omitted]"
 INLINE = [

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens, truncated
+from ..session import materialise
 
 MAX_TOKENS = 100_000
 CONTEXT_CHARS, LEAST_TAIL = 16_000, 200
@@ -30,7 +31,8 @@ def fitting_chunks(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     sized = chunks.select("review_id", "chunk_id", "file_path", tokens(F.col("diff_text")).alias("cost"), F.length("diff_text").alias("size"))
     sized = sized.dropDuplicates(["review_id", "chunk_id"])
     sized = sized.join(limits.select("review_id", F.coalesce("max_tokens", F.lit(MAX_TOKENS)).cast("long").alias("budget")), "review_id", "left")
-    sized = sized.withColumn("budget", F.coalesce("budget", F.lit(MAX_TOKENS).cast("long")))
+    # Narrow rows, read in several branches below; the texts are measured once.
+    sized = materialise(sized.withColumn("budget", F.coalesce("budget", F.lit(MAX_TOKENS).cast("long"))), "sized")
     totals = sized.groupBy("review_id").agg(F.sum("cost").alias("total"))
     all_of = sized.join(totals, "review_id")
     within, over = all_of.where("total <= budget"), all_of.where("total > budget")
@@ -82,7 +84,7 @@ def pruned_list(chunks: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def context_prefix(chunks: DataFrame, most: int = CONTEXT_CHARS, least_tail: int = LEAST_TAIL) -> DataFrame:
-    """(review_id, chunk_id, entry): the entries of a prompt until the next one exceeds the budget, and then its head if enough is left.
+    """(review_id, chunk_id, entry, whole): the entries of a prompt until the next one exceeds the budget, and then its head if enough is left.
 
     Lengths run first over narrow rows, and only over the first ones of a review: an entry has
     LEAST_ENTRY characters at least, so later ones cannot be within the budget. The rank filter
@@ -102,7 +104,44 @@ def context_prefix(chunks: DataFrame, most: int = CONTEXT_CHARS, least_tail: int
     kept = running.where((F.col("until") <= most) | ((F.col("before") <= most) & (most - F.col("before") > least_tail)))
     cut = F.when(F.col("until") <= most, F.col("entry")).otherwise(F.concat(F.left("entry", (most - F.col("before")).cast("int")), F.lit("\n... [truncated]\n")))
     whole = chunks.select("review_id", "chunk_id", entry.alias("entry"))
-    return whole.join(kept.select("review_id", "chunk_id", "until", "before"), ["review_id", "chunk_id"]).select("review_id", "chunk_id", cut.alias("entry"))
+    return whole.join(kept.select("review_id", "chunk_id", "until", "before"), ["review_id", "chunk_id"]).select("review_id", "chunk_id", cut.alias("entry"), (F.col("until") <= most).alias("whole"))
+
+
+#: Characters of dependents that must be left for any to be told, then for each further one; dependents, characters of each, and what counts for its frame.
+LEAST_DEPENDENTS, LEAST_DEPENDENT = 1_000, 200
+DEPENDENTS, DEPENDENT_CHARS, FRAME_CHARS = 10, 800, 200
+DEPENDENTS_TITLE = "\n## Dependent files (affected but not changed):\n"
+
+
+def review_contexts(chunks: DataFrame, dependents: DataFrame, sources: DataFrame, full_diffs: DataFrame, most: int = CONTEXT_CHARS) -> DataFrame:
+    """(review_id, context): the entries of a review's chunks, then heads of its dependents in what room is left; without either the head of its diff.
+
+    dependents: review_id, position, file_path; sources: review_id, file_path, source; full_diffs: review_id, full_diff.
+    A context is bounded, and so are the rows that one is made of.
+    """
+    entries = context_prefix(chunks, most)
+    told = entries.groupBy("review_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "entry"))), lambda x: x["entry"]).alias("entries"),
+        F.sum(F.when(F.col("whole"), F.length("entry")).otherwise(0)).alias("used"),
+    )
+    first = dependents.where(F.col("position") <= DEPENDENTS).select("review_id", "position", "file_path")
+    reviews = full_diffs.select("review_id").unionByName(told.select("review_id")).unionByName(first.select("review_id")).distinct()
+    room = reviews.join(told, "review_id", "left").select("review_id", "entries", (most - F.coalesce("used", F.lit(0))).alias("room"))
+    titled = first.groupBy("review_id").agg(F.lit(True).alias("titled"))
+    snippet = F.left("source", F.lit(DEPENDENT_CHARS))
+    heads = first.join(sources.where("source <> ''").select("review_id", "file_path", snippet.alias("snippet")), ["review_id", "file_path"])
+    along = Window.partitionBy("review_id").orderBy("position")
+    cost = F.length("snippet") + FRAME_CHARS
+    heads = heads.withColumn("before", F.sum(cost).over(along) - cost).join(room.select("review_id", "room"), "review_id")
+    heads = heads.where((F.col("before") == 0) | (F.col("room") - F.col("before") >= LEAST_DEPENDENT))
+    part = F.concat(F.lit("### "), F.col("file_path"), F.lit("\n```python\n"), F.col("snippet"), F.lit("\n```\n"))
+    parts = heads.groupBy("review_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", part.alias("part")))), lambda x: x["part"]).alias("parts"))
+    none = F.array().cast("array<string>")
+    more = F.when(F.col("titled") & (F.col("room") > LEAST_DEPENDENTS), F.concat(F.array(F.lit(DEPENDENTS_TITLE)), F.coalesce("parts", none))).otherwise(none)
+    whole = F.concat(F.coalesce("entries", none), F.coalesce(more, none))
+    joined = room.join(titled, "review_id", "left").join(parts, "review_id", "left").join(full_diffs.select("review_id", "full_diff"), "review_id", "left")
+    text = F.when(F.size(whole) > 0, F.array_join(whole, "\n")).otherwise(F.coalesce(F.left("full_diff", F.lit(most)), F.lit("")))
+    return joined.select("review_id", text.alias("context"))
 
 
 def bounded_sources(sources: DataFrame, changed: DataFrame, most: int = SOURCE_CHARS) -> DataFrame:

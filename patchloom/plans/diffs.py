@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import entropy
+from ..functions.text import entropy, truncation_note
 from ..operators import budget
 from ..operators.detect import MIN_ENTROPY, PLACEHOLDERS, RULES, private_keys_in_sources, secrets_in_diffs
-from ..operators.diffs import LARGE_DIFF, added_lines, chunked, file_sections, header_path, hunks, merged_adjacent
+from ..operators.diffs import HUNK_HEADER, LARGE_DIFF, added_lines, chunked, file_sections, header_path, hunks, merged_adjacent
+from ..operators.lists import first_distinct
 from ..operators.models import summarised
+from ..operators.registry import Detector, Registry
+from ..sources.files import MARKERS, told_frameworks
 from ..sources.tables import table
 
 
@@ -109,7 +113,7 @@ def full_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bounded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = table(spark, sf_dir, "file_sources").groupBy("review_id", "file_path").agg(F.max("source").alias("source"))
-    rows = budget.bounded_sources(sources, chunks(spark, sf_dir), 2000)
+    rows = budget.bounded_sources(sources, chunks(spark, sf_dir))
     return rows.select("review_id", "file_path", F.length("source").alias("n_chars"), F.sha2("source", 256).alias("source_hash"))
 
 
@@ -124,8 +128,58 @@ def private_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = table(spark, sf_dir, "findings").select("title").distinct()
-    return titles.select("title", F.round(entropy(F.col("title")), 6).alias("entropy"))
+    evidence = table(spark, sf_dir, "findings").select("evidence").distinct()
+    return evidence.select("evidence", F.round(entropy(F.col("evidence")), 6).alias("entropy"))
+
+
+def _unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a review that were read and not changed, by path: what stands for its dependents."""
+    read = table(spark, sf_dir, "file_sources").where("file_path <> ''").groupBy("review_id", "file_path").agg(F.max("source").alias("source"))
+    return read.join(deliveries(spark, sf_dir).select("review_id", "file_path").distinct(), ["review_id", "file_path"], "left_anti")
+
+
+def review_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt's context of each review, of the chunks with an even number; reviews with none fall back on their whole diff."""
+    rows = chunks(spark, sf_dir)
+    some = rows.where("chunk_id % 2 = 0 and file_path <> ''")
+    files = _unchanged(spark, sf_dir)
+    dependents = files.withColumn("position", F.row_number().over(Window.partitionBy("review_id").orderBy("file_path")))
+    diffs = budget.full_diff(rows.where("diff_text is not null"), "chunk_id")
+    out = budget.review_contexts(some, dependents, files, diffs)
+    return out.select("review_id", F.length("context").alias("n_chars"), F.sha2("context", 256).alias("context_hash"))
+
+
+def truncation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = deliveries(spark, sf_dir).select("chunk_id", truncation_note(F.col("diff_text")).alias("note")).distinct()
+    return rows.where("note <> ''")
+
+
+def first_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty files that each review changes, in the order of its chunks."""
+    return first_distinct(deliveries(spark, sf_dir), ["review_id"], "file_path", F.col("chunk_id"), 20)
+
+
+def frameworks_of_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test frameworks of reviews whose sources are laid out as trees: every third file stands for a marker, every fifth for a test."""
+    n = F.pmod(F.length("file_path") + F.length("review_id"), F.lit(12))
+    names = F.array(*[F.lit(x) for x in (*[m[1] for m in MARKERS[:4]], "package.json", "go.mod", "tests/test_a.py", "test/test_b.py", "src/test_c.py", "a.py", "tests/deep/test_d.py", "conftest.py")])
+    files = table(spark, sf_dir, "file_sources").select(F.col("review_id").alias("repo_path"), F.get(names, n.cast("int")).alias("rel_path"), "source")
+    return told_frameworks(files.where("rel_path is not null"))
+
+
+def detector_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of two registered detectors, the second of which leaves out the files in which the first found anything."""
+    def secrets(inputs: dict[str, DataFrame]) -> DataFrame:
+        return secrets_in_diffs(inputs["chunks"], ["chunk_id", "review_id", "file_path"]).select("review_id", "file_path", "line_no")
+
+    def keys(inputs: dict[str, DataFrame]) -> DataFrame:
+        found = private_keys_in_sources(inputs["sources"], ["review_id", "file_path"])
+        return found.join(inputs["secrets"].select("review_id", "file_path").distinct(), ["review_id", "file_path"], "left_anti").select("review_id", "file_path", "line_no")
+
+    registry = Registry([Detector("keys", "Private keys", keys, ("secrets",)), Detector("secrets", "Secrets", secrets)])
+    sources = table(spark, sf_dir, "file_sources").groupBy("review_id", "file_path").agg(F.max("source").alias("source"))
+    found = registry.run({"chunks": chunks(spark, sf_dir), "sources": sources})
+    return found.groupBy("agent").agg(F.count("*").alias("n_hits"), F.countDistinct("review_id").alias("n_reviews"))
 
 
 QUERIES = {
@@ -133,11 +187,12 @@ QUERIES = {
     for f in (
         diff_hunks, diff_added_lines, diff_sections, diff_header_paths, diff_chunked, merge_adjacent, large_diffs, summarised_diffs, token_totals,
         budget_prune, pruned_places, context_prefix, full_diffs, bounded_sources, secret_lines, private_keys, evidence_entropy,
+        review_contexts, truncation_notes, first_changed_files, frameworks_of_trees, detector_runs,
     )
 }
 
 _C = "c AS (SELECT DISTINCT ON (chunk_id) * FROM diff_chunks)"
-_HEADER = r"^@{2,3} (?:-\d+(?:,\d+)? )+?\+(\d+)(?:,(\d+))? @{2,3}"
+_HEADER = HUNK_HEADER
 _ROWS = f"""x AS (SELECT chunk_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT chunk_id, string_split(diff_text, chr(10)) AS ls FROM c)),
   h AS (SELECT *, sum(regexp_matches(line, '{_HEADER}')::INT) OVER (PARTITION BY chunk_id ORDER BY pos) AS hunk FROM x),
   hh AS (SELECT * FROM h WHERE hunk > 0)"""
@@ -196,9 +251,34 @@ SQL = {
         SELECT review_id, chunk_id, CAST(length(entry) AS INT) AS n_chars, sha256(entry) AS entry_hash FROM k""",
     "full_diffs": f"WITH {_C} SELECT review_id, sha256(string_agg(diff_text, chr(10) ORDER BY chunk_id)) AS diff_hash FROM c WHERE diff_text IS NOT NULL GROUP BY review_id",
     "bounded_sources": """WITH s AS (SELECT review_id, file_path, max(source) AS source FROM file_sources GROUP BY ALL), k AS (SELECT DISTINCT review_id, file_path, true AS own FROM diff_chunks),
-        b AS (SELECT review_id, file_path, CASE WHEN own THEN left(source, 2000) WHEN length(source) > 2000 THEN left(source, 2000) || chr(10) || '... [truncated]' ELSE source END AS source
+        b AS (SELECT review_id, file_path, CASE WHEN own THEN left(source, 8000) WHEN length(source) > 8000 THEN left(source, 8000) || chr(10) || '... [truncated]' ELSE source END AS source
           FROM s LEFT JOIN k USING (review_id, file_path))
         SELECT review_id, file_path, CAST(length(source) AS INT) AS n_chars, sha256(source) AS source_hash FROM b""",
+    "review_contexts": f"""WITH {_C}, e AS (SELECT review_id, chunk_id, {_ENTRY} AS entry FROM c WHERE chunk_id % 2 = 0 AND file_path <> ''),
+        r AS (SELECT *, sum(length(entry)) OVER (PARTITION BY review_id ORDER BY chunk_id) AS until FROM e),
+        k AS (SELECT review_id, chunk_id, until <= 16000 AS whole, CASE WHEN until <= 16000 THEN entry ELSE left(entry, CAST(16000 - (until - length(entry)) AS INT)) || chr(10) || '... [truncated]' || chr(10) END AS entry
+          FROM r WHERE until <= 16000 OR (until - length(entry) <= 16000 AND 16000 - (until - length(entry)) > 200)),
+        t AS (SELECT review_id, string_agg(entry, chr(10) ORDER BY chunk_id) AS entries, coalesce(sum(length(entry)) FILTER (whole), 0) AS used FROM k GROUP BY review_id),
+        f AS (SELECT review_id, file_path, max(source) AS source FROM file_sources s WHERE file_path <> '' AND NOT EXISTS (SELECT 1 FROM c WHERE c.review_id = s.review_id AND c.file_path = s.file_path) GROUP BY ALL),
+        d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY file_path) AS position FROM f) WHERE position <= 10),
+        full_diff AS (SELECT review_id, string_agg(diff_text, chr(10) ORDER BY chunk_id) AS whole FROM c WHERE diff_text IS NOT NULL GROUP BY review_id),
+        ids AS (SELECT review_id FROM full_diff UNION SELECT review_id FROM t UNION SELECT review_id FROM d),
+        room AS (SELECT ids.review_id, entries, 16000 - coalesce(used, 0) AS room FROM ids LEFT JOIN t USING (review_id)),
+        h AS (SELECT d.review_id, position, file_path, left(source, 800) AS snippet, room, coalesce(sum(length(left(source, 800)) + 200) OVER (PARTITION BY d.review_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM d JOIN room USING (review_id) WHERE source <> ''),
+        p AS (SELECT review_id, string_agg('### ' || file_path || chr(10) || '```python' || chr(10) || snippet || chr(10) || '```' || chr(10), chr(10) ORDER BY position) AS parts FROM h WHERE before = 0 OR room - before >= 200 GROUP BY review_id),
+        o AS (SELECT room.review_id, entries, whole, CASE WHEN room > 1000 AND EXISTS (SELECT 1 FROM d WHERE d.review_id = room.review_id)
+            THEN chr(10) || '## Dependent files (affected but not changed):' || chr(10) || coalesce(chr(10) || parts, '') END AS more FROM room LEFT JOIN p USING (review_id) LEFT JOIN full_diff USING (review_id)),
+        x AS (SELECT review_id, CASE WHEN entries IS NULL AND more IS NULL THEN coalesce(left(whole, 16000), '') ELSE concat_ws(chr(10), entries, more) END AS context FROM o)
+        SELECT review_id, CAST(length(context) AS INT) AS n_chars, sha256(context) AS context_hash FROM x""",
+    "truncation_notes": f"""WITH {_C} SELECT chunk_id, 'LLM diff excerpt truncated to first 8000 chars of ' || length(diff_text) || ' (full raw diff scanned by the deterministic detector).' AS note
+        FROM c WHERE length(diff_text) > 8000""",
+    "first_changed_files": """WITH o AS (SELECT review_id, file_path, min(chunk_id) AS f FROM diff_chunks WHERE file_path <> '' GROUP BY ALL)
+        SELECT review_id, file_path, CAST(row_number() OVER (PARTITION BY review_id ORDER BY f, file_path) AS INT) AS position FROM o QUALIFY position <= 20""",
+    "frameworks_of_trees": """WITH t AS (SELECT review_id AS r, source, (length(file_path) + length(review_id)) % 12 AS n FROM file_sources WHERE file_path IS NOT NULL AND review_id IS NOT NULL),
+        m AS (SELECT r, CASE WHEN n IN (0, 2, 3) OR n = 1 AND contains(coalesce(source, ''), 'pytest') THEN 'pytest' WHEN n = 4 THEN 'npm' WHEN n = 5 THEN 'go' WHEN n = 11 THEN 'unittest' END AS f, n IN (6, 7) AS is_test FROM t),
+        k AS (SELECT DISTINCT r, f FROM m WHERE f IS NOT NULL UNION SELECT r, 'pytest' FROM m GROUP BY r HAVING count(f) = 0 AND bool_or(is_test))
+        SELECT r AS repo_path, f AS framework, CASE f WHEN 'pytest' THEN 'pytest -x --tb=short' WHEN 'npm' THEN 'npm test' WHEN 'go' THEN 'go test ./...' ELSE 'python -m pytest -x --tb=short' END AS command FROM k""",
     "secret_lines": f"""WITH {_C}, {_ROWS}, n AS (SELECT *, CAST(regexp_extract(first_value(line) OVER w, '{_HEADER}', 1) AS INT)
           + sum((NOT regexp_matches(line, '{_HEADER}') AND line[1:1] <> '-' AND line[1:1] <> '\\')::INT) OVER w - 1 AS line_no
           FROM hh WINDOW w AS (PARTITION BY chunk_id, hunk ORDER BY pos)),
@@ -210,5 +290,8 @@ SQL = {
     "private_keys": """WITH s AS (SELECT review_id, file_path, max(source) AS source FROM file_sources GROUP BY ALL),
         x AS (SELECT review_id, file_path, unnest(range(1, len(ls) + 1))::INT AS line_no, unnest(ls) AS line FROM (SELECT *, string_split(source, chr(10)) AS ls FROM s))
         SELECT review_id, file_path, line_no FROM x WHERE regexp_matches(line, '-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----')""",
-    "evidence_entropy": f"SELECT DISTINCT title, round({_ENTROPY.format('title')}, 6) AS entropy FROM findings",
+    "evidence_entropy": f"WITH e AS (SELECT DISTINCT evidence FROM findings) SELECT evidence, round({_ENTROPY.format('evidence')}, 6) AS entropy FROM e",
 }
+SQL["detector_runs"] = f"""WITH s AS ({SQL["secret_lines"]}), k AS ({SQL["private_keys"]}), c AS (SELECT DISTINCT ON (chunk_id) * FROM diff_chunks), h AS (SELECT review_id, file_path FROM s JOIN c USING (chunk_id))
+        SELECT 'secrets' AS agent, count(*) AS n_hits, count(DISTINCT review_id) AS n_reviews FROM h HAVING count(*) > 0
+        UNION ALL SELECT 'keys', count(*), count(DISTINCT review_id) FROM k WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.review_id = k.review_id AND h.file_path = k.file_path) HAVING count(*) > 0"""

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE_SPACE, lines, plain_line, stripped
 from ..operators import findings as ops
 from ..operators import verdict
-from ..operators.reports import parsed_answers
+from ..operators.detect import MIN_ENTROPY, PLACEHOLDERS
+from ..operators.lists import first_distinct
 from ..operators.render import review_json
+from ..operators.reports import parsed_answers, scanner_findings
 from ..sources.tables import table
 
 
@@ -153,12 +155,54 @@ def reviews_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_json(verdict.verdicts(chosen(spark, sf_dir)), merged(spark, sf_dir))
 
 
+def _scanner_raw() -> Column:
+    """A finding as one scanner's report of it: bandit, semgrep or gitleaks by its place in the list."""
+    code = F.concat(F.col("line_start").cast("string"), F.lit(" x = '"), F.col("category"), F.lit("'"))
+    bandit = F.struct(
+        F.when(F.col("seq") % 2 == 0, "B101").when(F.col("seq") % 5 == 0, "B105").otherwise("B602").alias("test_id"), F.col("file_path").alias("filename"),
+        F.col("line_start").alias("line_number"), F.col("title").alias("issue_text"), F.upper("severity").alias("issue_severity"), F.lit("HIGH").alias("issue_confidence"), code.alias("code"),
+    )
+    extra = F.struct(F.when(F.col("severity") == "high", "error").when(F.col("severity") == "info", "Info").otherwise("odd").alias("severity"), F.col("title").alias("message"))
+    semgrep = F.struct(F.col("category").alias("check_id"), F.col("file_path").alias("path"), F.struct(F.col("line_start").alias("line")).alias("start"), F.struct(F.col("line_end").alias("line")).alias("end"), extra.alias("extra"))
+    gitleaks = F.struct(F.when(F.col("seq") % 2 == 0, F.col("category")).alias("RuleID"), F.col("file_path").alias("File"), F.col("line_start").alias("StartLine"), F.col("title").alias("Secret"))
+    return (
+        F.when(F.col("tool") == "bandit", F.to_json(F.struct(F.array(bandit).alias("results"))))
+        .when(F.col("tool") == "semgrep", F.to_json(F.struct(F.array(semgrep).alias("results"))))
+        .otherwise(F.to_json(F.array(gitleaks)))
+    )
+
+
+def scanner_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings written as scanner reports and parsed again, without what is noise in test code or no password."""
+    tool = F.element_at(F.array(F.lit("bandit"), F.lit("semgrep"), F.lit("gitleaks")), F.pmod("seq", F.lit(3)).cast("int") + 1)
+    rows = distinct(spark, sf_dir).withColumn("tool", tool).select(F.concat_ws("#", "review_id", "agent", F.col("seq").cast("string")).alias("review_id"), "tool", _scanner_raw().alias("raw"))
+    return scanner_findings(rows).select(
+        F.col("review_id").alias("id"), "tool", "title", "severity", "description", "file_path", "line_start", "line_end", F.length("evidence").alias("n_evidence"), "confidence"
+    )
+
+
+def last_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the deliveries of a report the last one, by seq."""
+    return verdict.latest_reports(distinct(spark, sf_dir).select("review_id", "agent", "seq", "title"), "seq")
+
+
+def first_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a review once, at their first place."""
+    return verdict.distinct_errors(distinct(spark, sf_dir).select("review_id", F.col("title").alias("error"), "seq"))
+
+
+def first_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three categories of each review in the order of agents and lists."""
+    return first_distinct(table(spark, sf_dir, "findings"), ["review_id"], "category", F.struct("agent", "seq"), 3)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         dedupe_best_finding, dedupe_by_agent_priority, throttle_per_agent, suppressed_notes, overall_verdict, merged_verdict, degraded_verdict,
         combined_verdict, severity_histogram, notable_summary, findings_table, title_antijoin, concatenated_reports, evidence_only,
         evidence_grounded, grounded_ratio, evidence_window, plain_evidence, parsed_findings, reviews_as_json,
+        scanner_parsed, last_reports, first_errors, first_categories,
     )
 }
 
@@ -197,6 +241,10 @@ _GROUNDED = f"""
   g AS (SELECT f.review_id, f.agent, f.seq, h.seq IS NOT NULL AS grounded FROM f LEFT JOIN hits h ON f.review_id = h.review_id AND f.agent = h.agent AND f.seq = h.seq
         WHERE severity IS NULL OR severity <> 'info')"""
 
+_ENTROPY = """CASE WHEN {0} = '' THEN 0.0 ELSE list_sum(list_transform(list_distinct(string_split({0}, '')), lambda c:
+  -(len(list_filter(string_split({0}, ''), lambda d: d = c)) / len({0})) * log2(len(list_filter(string_split({0}, ''), lambda d: d = c)) / len({0})))) END"""
+_PLACEHOLDERS = ", ".join(f"'{p}'" for p in PLACEHOLDERS)
+
 SQL = {
     "dedupe_best_finding": f"""WITH {F_ONE}
         SELECT review_id, agent, seq FROM f WHERE {LOCATED}
@@ -257,6 +305,20 @@ SQL = {
     "plain_evidence": f"""WITH {F_ONE}, l AS (SELECT review_id, agent, seq, {_LINES.format("evidence")} AS ls FROM f),
         x AS (SELECT review_id, agent, seq, unnest(range(0, len(ls)))::INT AS pos, unnest(ls) AS line FROM l)
         SELECT review_id, agent, seq, pos, {_PLAIN.format(_STRIP.format("line"))} AS line FROM x""",
+    "scanner_parsed": f"""WITH {F_ONE}, t AS (SELECT *, review_id || '#' || agent || '#' || seq AS id, CASE seq % 3 WHEN 0 THEN 'bandit' WHEN 1 THEN 'semgrep' ELSE 'gitleaks' END AS tool,
+          CASE WHEN seq % 2 = 0 THEN 'B101' WHEN seq % 5 = 0 THEN 'B105' ELSE 'B602' END AS rule, line_start || ' x = ' || chr(39) || category || chr(39) AS code, {KEY} AS key FROM f),
+        k AS (SELECT *, coalesce(starts_with(key, 'tests/') OR starts_with(key, 'test/') OR starts_with(regexp_extract(key, '([^/]*)$', 1), 'test_') OR ends_with(key, '_test.py') OR regexp_extract(key, '([^/]*)$', 1) = 'conftest.py', false) AS in_test,
+          CASE WHEN code IS NOT NULL AND NOT contains(category, chr(34)) THEN category END AS literal FROM t)
+        SELECT id, tool, '[bandit] ' || rule || ': ' || left(coalesce(title, ''), 200) AS title, CASE WHEN upper(severity) = 'LOW' THEN 'low' WHEN upper(severity) = 'HIGH' THEN 'high' ELSE 'medium' END AS severity,
+          coalesce(title, '') AS description, file_path, line_start, NULL::INT AS line_end, CAST(length(coalesce(code, '')) AS INT) AS n_evidence, 0.9::DOUBLE AS confidence
+        FROM k WHERE tool = 'bandit' AND NOT (rule <> 'B602' AND in_test) AND NOT (rule = 'B105' AND literal IS NOT NULL AND coalesce({_ENTROPY.format("literal")} < {MIN_ENTROPY} OR lower(literal) IN ({_PLACEHOLDERS}), false))
+        UNION ALL SELECT id, tool, '[semgrep] ' || coalesce(category, ''), CASE severity WHEN 'high' THEN 'high' WHEN 'info' THEN 'info' ELSE 'medium' END, coalesce(title, ''), file_path, line_start, line_end, 0, 0.7 FROM k WHERE tool = 'semgrep'
+        UNION ALL SELECT id, tool, '[gitleaks] ' || coalesce(CASE WHEN seq % 2 = 0 THEN category END, 'secret') || ': potential secret detected', 'critical', 'Potential secret or credential in code.', file_path, line_start, NULL,
+          CASE WHEN coalesce(title, '') = '' THEN 0 ELSE least(length(title), 100) + 3 END, 0.9 FROM k WHERE tool = 'gitleaks'""",
+    "last_reports": f"WITH {F_ONE} SELECT review_id, agent, max(seq) AS seq, arg_max(title, seq) AS title FROM f WHERE title IS NOT NULL GROUP BY ALL",
+    "first_errors": f"WITH {F_ONE} SELECT review_id, title AS error, min(seq) AS seq FROM f GROUP BY ALL",
+    "first_categories": f"""WITH {F_ONE}, o AS (SELECT review_id, category, min((agent, seq)) AS f FROM f WHERE category <> '' GROUP BY ALL)
+        SELECT review_id, category, CAST(row_number() OVER (PARTITION BY review_id ORDER BY f, category) AS INT) AS position FROM o QUALIFY position <= 3""",
     "parsed_findings": f"""WITH {F_ONE}, v AS (SELECT agent, coalesce(confidence, 0.7) AS c,
           severity IS NULL OR lower(severity) NOT IN ('critical', 'high', 'medium', 'low', 'info') OR title IS NULL
           OR coalesce(isnan(confidence) OR confidence < 0 OR confidence > 1, false) AS malformed FROM f)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.models import answered, stub_answer, usage
+from ..operators.reports import is_json
 from ..sources.tables import table
 
 
@@ -58,6 +59,23 @@ def kind_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(text.title_case(F.col("kind")).alias("kind"), F.round(share, 6).alias("share"), text.percentage(share).alias("shown"))
 
 
+def content_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of answers that come as lists of parts, made of the text, source and kind of documents."""
+    part = lambda name, c: F.to_json(F.struct(F.col(c).alias(name)))
+    # A lone string as JSON is a list of it without the brackets.
+    quoted = F.coalesce(F.regexp_replace(F.to_json(F.array("source")), r"^\[|\]$", ""), F.lit("null"))
+    listed = F.concat(F.lit("["), part("text", "text"), F.lit(","), quoted, F.lit(","), part("content", "kind"), F.lit(',{"other":1}]'))
+    rows = documents(spark, sf_dir).select("doc_id", F.try_parse_json(listed).alias("content"))
+    return rows.select("doc_id", F.sha2(text.content_text("content"), 256).alias("text_hash")).distinct()
+
+
+def parseable_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether documents, two of three made JSON strings or fenced ones, parse."""
+    inner = F.to_json(F.array(F.coalesce("text", F.lit(""))))
+    answer = F.when(F.col("doc_id") % 3 == 0, inner).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```json\n"), inner, F.lit("\n```\n"))).otherwise(F.concat(F.lit("{"), F.coalesce("text", F.lit(""))))
+    return documents(spark, sf_dir).select("doc_id", is_json(answer).alias("parses")).distinct()
+
+
 def stub_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of the deterministic stand-in model to prompts made of documents."""
     prompts = {0: "Summarize this: ", 1: "List the findings: ", 2: "Give overall_severity: ", 3: ""}
@@ -86,7 +104,7 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        content_hash, document_tokens, used_tokens, markdown_to_plain, without_fences, truncated_texts, line_counts, kind_shares, stub_model, model_calls,
+        content_hash, document_tokens, used_tokens, markdown_to_plain, without_fences, truncated_texts, line_counts, kind_shares, content_texts, parseable_answers, stub_model, model_calls,
     )
 }
 
@@ -106,6 +124,8 @@ SQL = {
     "line_counts": rf"""WITH {_D} SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split_regex(regexp_replace(text, '\r?\n$', ''), '\r?\n')) END::INT AS n_lines FROM d WHERE text IS NOT NULL""",
     "kind_shares": f"""WITH {_D}, s AS (SELECT kind, count(lang) / count(*) AS share FROM d GROUP BY kind)
         SELECT array_to_string(list_transform(string_split(kind, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS kind, round(share, 6) AS share, CAST(round_even(share * 100, 0) AS INT) || '%' AS shown FROM s""",
+    "content_texts": f"WITH {_D} SELECT doc_id, sha256(concat_ws(chr(10), nullif(text, ''), source, nullif(kind, ''))) AS text_hash FROM d",
+    "parseable_answers": f"WITH {_D} SELECT doc_id, doc_id % 3 <> 2 AS parses FROM d",
     "stub_model": f"""WITH {_D}, p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Summarize this: ' WHEN 1 THEN 'List the findings: ' WHEN 2 THEN 'Give overall_severity: ' ELSE '' END || coalesce(text, '') AS p FROM d)
         SELECT doc_id, CASE WHEN contains(p, 'overall_severity') THEN '{{"overall_severity": "info", "recommendation": "approve", "summary": "stub"}}'
           WHEN contains(p, 'findings') THEN '[{{"category": "code_quality", "severity": "low", "title": "Stub finding", "confidence": 0.5}}]'

@@ -32,6 +32,30 @@ def scanner_reports(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.regexp_extract("name", r"^(.*)\.[^.]+$", 1).alias("review_id"), F.regexp_extract("name", r"([^.]+)$", 1).alias("tool"), "raw")
 
 
+# Files that tell a test framework, in the order in which they count.
+MARKERS = [
+    ("pytest", "pytest.ini", "pytest -x --tb=short"), ("pytest", "pyproject.toml", "pytest -x --tb=short"), ("pytest", "setup.cfg", "pytest -x --tb=short"),
+    ("pytest", "tox.ini", "pytest -x --tb=short"), ("unittest", "conftest.py", "python -m pytest -x --tb=short"), ("npm", "package.json", "npm test"),
+    ("go", "go.mod", "go test ./..."), ("cargo", "Cargo.toml", "cargo test"), ("rake", "Rakefile", "rake test"),
+]
+#: A marker that counts only if it speaks of its framework.
+MUST_SAY = {"pyproject.toml": "pytest"}
+FALLBACK = ("pytest", "pytest -x --tb=short")
+
+
+def told_frameworks(files: DataFrame) -> DataFrame:
+    """(repo_path, framework, command) of trees (repo_path, rel_path, source): the first marker at the root that tells each framework,
+    or else pytest where tests/ or test/ holds test_*.py."""
+    tells = F.lit(None).cast("struct<framework:string,command:string,priority:int>")
+    for n, (framework, name, command) in reversed(list(enumerate(MARKERS))):
+        said = F.contains(F.coalesce("source", F.lit("")), F.lit(MUST_SAY[name])) if name in MUST_SAY else F.lit(True)
+        tells = F.when((F.col("rel_path") == name) & said, F.struct(F.lit(framework).alias("framework"), F.lit(command).alias("command"), F.lit(n).alias("priority"))).otherwise(tells)
+    rows = files.select("repo_path", tells.alias("t"), F.rlike("rel_path", F.lit("^tests?/test_[^/]*[.]py$")).alias("is_test"))
+    found = rows.where("t is not null").groupBy("repo_path", "t.framework").agg(F.min_by("t.command", "t.priority").alias("command"))
+    bare = rows.groupBy("repo_path").agg(F.bool_or("is_test").alias("tested"), F.max(F.col("t").isNotNull()).alias("told")).where("tested and not told")
+    return found.unionByName(bare.select("repo_path", F.lit(FALLBACK[0]).alias("framework"), F.lit(FALLBACK[1]).alias("command")))
+
+
 def frameworks(files: DataFrame, markers: DataFrame) -> DataFrame:
     """(repo_path, framework, command): the first marker file by priority of each framework; markers: file_name, framework, command, priority."""
     named = files.withColumn("file_name", F.regexp_extract("rel_path", r"([^/]+)$", 1))

@@ -8,10 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from patchloom.session import local_session
+    from patchloom.session import clear_materialised, local_session
 
     session = local_session(4, partitions=4, memory="4g")
     yield session
+    clear_materialised(session)
     session.stop()
 
 
