@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .arrow import batch_of, texts
-from .skew import join_counted
+from ..operators.skew import join_counted
 
 WORDS = 13
 #: The most characters of items that are sent to the executors.

@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 
 from ..session import materialise
 from .arrow import batch_of, texts
-from .skew import join_counted, pairs_within
+from ..operators.skew import join_counted, pairs_within, prefiltered
 
 MIN_CHARS = 256
 _P = 0x9E3779B97F4A7C15
@@ -185,7 +185,8 @@ def _runs(edges: DataFrame) -> DataFrame:
     """(doc, ver, first, last): stretches of repeated edges that no text enters or leaves midway."""
     text = ["doc", "ver"]
     counts = edges.groupBy("edge").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    there = join_counted(edges, counts.select("edge", "n"), ["edge"], "n", F.xxhash64("doc")).drop("n")
+    counts = materialise(counts.select("edge", "n"), "counts")
+    there = join_counted(prefiltered(edges, counts, ["edge"]), counts, ["edge"], "n", F.xxhash64("doc")).drop("n")
     occurs = materialise(there.dropDuplicates([*text, "edge"]), "occurrences")
     n_docs = occurs.groupBy("edge").agg(F.count("*").alias("n_docs"))
     counted = join_counted(occurs, n_docs, ["edge"], "n_docs", F.xxhash64("doc"))

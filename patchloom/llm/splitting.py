@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import join_counted
+from ..operators.skew import join_counted
 
 CHARS_PER_TOKEN = 4
 OVERLAP_TOKENS = 20
