@@ -23,9 +23,11 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 def compared(current: DataFrame, previous: DataFrame) -> DataFrame:
     """current with `state`: unchanged, changed or added against previous, by repo_path, rel_path and content_hash."""
-    before = previous.groupBy("repo_path", "rel_path").agg(F.collect_set("content_hash").alias("_hashes"))
-    state = F.when(F.col("_hashes").isNull(), "added").when(F.array_contains("_hashes", F.col("content_hash")), "unchanged").otherwise("changed")
-    return current.join(before, ["repo_path", "rel_path"], "left").withColumn("state", F.coalesce(state, F.lit("changed"))).drop("_hashes")
+    place, content = ["repo_path", "rel_path"], ["repo_path", "rel_path", "content_hash"]
+    there = previous.select(*place, F.lit(True).alias("_there")).distinct()
+    same = previous.select(*content, F.lit(True).alias("_same")).distinct()
+    state = F.when(F.col("_same"), "unchanged").when(F.col("_there"), "changed").otherwise("added")
+    return current.join(same, content, "left").join(there, place, "left").withColumn("state", state).drop("_same", "_there")
 
 
 def to_parse(current: DataFrame, previous: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.text import used_tokens
+from ..functions.text import stripped, used_tokens, without_fence
 from .diffs import LARGE_DIFF
 
 #: A client takes a prompt and gives its answer.
@@ -116,6 +116,26 @@ def summarised(diffs: DataFrame, summaries: DataFrame | None) -> DataFrame:
     return joined.withColumn("diff_text", text).drop("summary")
 
 
+# The members of a judge's answer.
+JUDGED = ["groundedness", "completeness", "actionability", "precision", "overall"]
+
+
+def judged(answers: DataFrame) -> DataFrame:
+    """answers (scenario_id, answer, error) with the judge's scores, its comment and what went wrong; an absent score is 0.
+
+    A failed call keeps its error, an answer that is no JSON or no object gets one; either has no scores.
+    """
+    v = answers.withColumn("_v", F.try_parse_json(stripped(without_fence(F.col("answer")))))
+    is_object = F.coalesce(F.expr("schema_of_variant(_v) like 'OBJECT%'"), F.lit(False))
+    scores = {c: F.expr(f"case when variant_get(_v, '$.{c}') is null then 0.0D else try_variant_get(_v, '$.{c}', 'double') end") for c in JUDGED}
+    good = is_object & F.col("error").isNull()
+    for c in JUDGED:
+        good = good & scores[c].isNotNull()
+    note = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("_v").isNull(), "judge output was not valid JSON").when(~good, "judge output has no numbers where scores are asked")
+    comment = F.coalesce(F.expr("try_variant_get(_v, '$.comment', 'string')"), F.lit(""))
+    return v.select("scenario_id", *[F.when(good, scores[c]).alias(c) for c in JUDGED], F.when(good, comment).alias("comment"), note.alias("error"))
+
+
 def usage(answers: DataFrame) -> DataFrame:
     """(review_id, agent, tokens) of answers (review_id, agent, answer, input_tokens, output_tokens)."""
     spent = used_tokens(F.col("answer"), F.col("input_tokens"), F.col("output_tokens"))

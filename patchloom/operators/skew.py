@@ -12,7 +12,7 @@ HOT_KEYS = 1_000
 #: Members of a group that meet all its members in one task.
 BLOCK = 256
 #: Parts of a bitmap of keys and 64-bit words of a part: 8 MB in all, however many keys there are.
-PARTS, WORDS = 2048, 512
+PARTS, WORDS = 16_384, 64
 
 
 def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, spread: Column, how: str = "inner", counts: DataFrame | None = None, keep_salt: bool = False) -> DataFrame:

@@ -53,6 +53,11 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def holds(self, name: str) -> bool:
+        """Whether the table was ever written."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
     def write(self, name: str, rows: DataFrame) -> None:
         """Rows of one or more snapshots; what the table held of them is replaced, all else stays."""
         rows.write.mode("overwrite").partitionBy(*RUN).option("partitionOverwriteMode", "dynamic").parquet(f"{self.folder}/{name}")

@@ -10,7 +10,7 @@ from ..operators import findings as ops
 from ..operators import verdict
 from ..operators.detect import MIN_ENTROPY, PLACEHOLDERS
 from ..operators.lists import first_distinct
-from ..operators.render import review_json
+from ..operators.render import review_json, review_text
 from ..operators.reports import parsed_answers, scanner_findings
 from ..sources.tables import table
 
@@ -155,6 +155,13 @@ def reviews_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_json(verdict.verdicts(chosen(spark, sf_dir)), merged(spark, sf_dir))
 
 
+def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text report of every review: its verdict and the rows of its table."""
+    rows = distinct(spark, sf_dir)
+    texts = review_text(verdict.verdicts(rows), ops.findings_table(rows))
+    return texts.select("review_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
+
+
 def _scanner_raw() -> Column:
     """A finding as one scanner's report of it: bandit, semgrep or gitleaks by its place in the list."""
     code = F.concat(F.col("line_start").cast("string"), F.lit(" x = '"), F.col("category"), F.lit("'"))
@@ -202,7 +209,7 @@ QUERIES = {
         dedupe_best_finding, dedupe_by_agent_priority, throttle_per_agent, suppressed_notes, overall_verdict, merged_verdict, degraded_verdict,
         combined_verdict, severity_histogram, notable_summary, findings_table, title_antijoin, concatenated_reports, evidence_only,
         evidence_grounded, grounded_ratio, evidence_window, plain_evidence, parsed_findings, reviews_as_json,
-        scanner_parsed, last_reports, first_errors, first_categories,
+        review_texts, scanner_parsed, last_reports, first_errors, first_categories,
     )
 }
 
@@ -305,6 +312,14 @@ SQL = {
     "plain_evidence": f"""WITH {F_ONE}, l AS (SELECT review_id, agent, seq, {_LINES.format("evidence")} AS ls FROM f),
         x AS (SELECT review_id, agent, seq, unnest(range(0, len(ls)))::INT AS pos, unnest(ls) AS line FROM l)
         SELECT review_id, agent, seq, pos, {_PLAIN.format(_STRIP.format("line"))} AS line FROM x""",
+    "review_texts": f"""WITH {F_ONE}, v AS ({_verdict(_ALL)}), n AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY {WEIGHT} DESC, {PRIORITY}, agent, seq) AS position
+          FROM f WHERE severity IS NULL OR severity <> 'info' QUALIFY position <= 100),
+        l AS (SELECT review_id, string_agg(position || '. [' || upper(coalesce(severity, '')) || '] '
+            || array_to_string(list_transform(string_split(replace(coalesce(category, ''), '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ': ' || coalesce(title, '')
+            || CASE WHEN file_path <> '' THEN ' (' || file_path || coalesce(':' || line_start, '') || ')' ELSE '' END, chr(10) ORDER BY position) AS lines FROM n GROUP BY review_id),
+        t AS (SELECT review_id, rtrim('Recommendation: ' || recommendation || chr(10) || 'Severity: ' || overall_severity || chr(10) || 'Findings: ' || n_findings || chr(10) || coalesce(lines, ''), ' ') AS text
+          FROM v LEFT JOIN l USING (review_id))
+        SELECT review_id, CAST(length(text) AS INT) AS n_chars, sha256(text) AS text_hash FROM t""",
     "scanner_parsed": f"""WITH {F_ONE}, t AS (SELECT *, review_id || '#' || agent || '#' || seq AS id, CASE seq % 3 WHEN 0 THEN 'bandit' WHEN 1 THEN 'semgrep' ELSE 'gitleaks' END AS tool,
           CASE WHEN seq % 2 = 0 THEN 'B101' WHEN seq % 5 = 0 THEN 'B105' ELSE 'B602' END AS rule, line_start || ' x = ' || chr(39) || category || chr(39) AS code, {KEY} AS key FROM f),
         k AS (SELECT *, coalesce(starts_with(key, 'tests/') OR starts_with(key, 'test/') OR starts_with(regexp_extract(key, '([^/]*)$', 1), 'test_') OR ends_with(key, '_test.py') OR regexp_extract(key, '([^/]*)$', 1) = 'conftest.py', false) AS in_test,

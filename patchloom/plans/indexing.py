@@ -112,9 +112,13 @@ def existence_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probed.join(called, RUN, "left").withColumn("has_edges", F.coalesce("has_edges", F.lit(False)))
 
 
-def point_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entries of one path in all snapshots of one repository."""
-    rows = table(spark, sf_dir, "file_entries").where("repo_path = '/srv/repos/orchard-mono' and rel_path like 'src/%'")
+#: What the look-ups ask for unless they are told otherwise.
+ASKED_REPO, ASKED_FOLDER, ASKED_NAME, ASKED_FILE = "/srv/repos/orchard-mono", "src/", "join", "src/api/noisy_segment.ts"
+
+
+def point_read(spark: SparkSession, sf_dir: str, repo: str = ASKED_REPO, folder: str = ASKED_FOLDER) -> DataFrame:
+    """The entries of one folder in all snapshots of one repository."""
+    rows = table(spark, sf_dir, "file_entries").where((F.col("repo_path") == repo) & F.startswith("rel_path", F.lit(folder)))
     return rows.select("entry_id", "git_hash", "rel_path", "content_hash").dropDuplicates(["entry_id"])
 
 
@@ -125,8 +129,8 @@ def enclosing_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("edge_id", "symbol", "symbol_kind")
 
 
-def callers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.callers_of(table(spark, sf_dir, "call_edges"), "join").select("edge_id").distinct()
+def callers_of(spark: SparkSession, sf_dir: str, name: str = ASKED_NAME) -> DataFrame:
+    return graph.callers_of(table(spark, sf_dir, "call_edges"), name).select("edge_id").distinct()
 
 
 def reverse_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +208,7 @@ def symbol_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.symbol_calls(edges(spark, sf_dir), names)
 
 
-def edges_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = "src/api/noisy_segment.ts"
+def edges_of_file(spark: SparkSession, sf_dir: str, path: str = ASKED_FILE) -> DataFrame:
     rows = table(spark, sf_dir, "call_edges").where((F.col("caller_path") == path) | (F.col("callee_path") == path)).dropDuplicates(["edge_id"])
     return graph.edges_of_file(rows, path).select("edge_id")
 
@@ -298,13 +301,13 @@ SQL = {
         SELECT x.review_id, x.repo_path, coalesce(y.max_tokens, 0)::INT AS max_tokens, y.run_tests FROM k x JOIN k y USING (review_id) WHERE x.a = 1 AND y.b = 1""",
     "existence_probe": """SELECT DISTINCT repo_path, git_hash, EXISTS (SELECT 1 FROM index_runs i WHERE i.repo_path = r.repo_path AND i.git_hash = r.git_hash) AS is_indexed,
         EXISTS (SELECT 1 FROM call_edges e WHERE e.repo_path = r.repo_path AND e.git_hash = r.git_hash) AS has_edges FROM reviews r""",
-    "point_read": f"WITH {_FE} SELECT entry_id, git_hash, rel_path, content_hash FROM fe WHERE repo_path = '/srv/repos/orchard-mono' AND rel_path LIKE 'src/%'",
+    "point_read": f"WITH {_FE} SELECT entry_id, git_hash, rel_path, content_hash FROM fe WHERE repo_path = '{ASKED_REPO}' AND rel_path LIKE '{ASKED_FOLDER}%'",
     "enclosing_symbol": f"""WITH {_SY}, {_CE}, o AS (SELECT e.edge_id, s.qualified_name, s.kind FROM ce e
-          LEFT JOIN (SELECT DISTINCT repo_path, git_hash, rel_path, qualified_name, kind, line_start, line_end FROM sy) s
+          LEFT JOIN sy s
           ON s.repo_path = e.repo_path AND s.git_hash = e.git_hash AND s.rel_path = e.caller_path AND e.line BETWEEN s.line_start AND s.line_end
-          QUALIFY row_number() OVER (PARTITION BY e.edge_id ORDER BY s.line_start DESC NULLS LAST, s.qualified_name, s.kind) = 1)
+          QUALIFY row_number() OVER (PARTITION BY e.edge_id ORDER BY s.line_start DESC NULLS LAST, s.symbol_id) = 1)
         SELECT edge_id, coalesce(qualified_name, '<module>') AS symbol, coalesce(kind, 'module') AS symbol_kind FROM o""",
-    "callers_of": "SELECT DISTINCT edge_id FROM call_edges WHERE callee_name = 'join'",
+    "callers_of": f"SELECT DISTINCT edge_id FROM call_edges WHERE callee_name = '{ASKED_NAME}'",
     "reverse_dependencies": f"WITH {_SY}, {_CE}, {_CHANGED} {_dependents(_SAME_PATH)}",
     "reverse_dependencies_by_name": f"WITH {_SY}, {_CE}, {_CHANGED} {_dependents('')}",
     "snapshot_dependents": f"""WITH {_FE}, {_SY}, {_CE}, {_CHANGED}, d AS ({_dependents(_SAME_PATH)})
@@ -323,5 +326,5 @@ SQL = {
     "symbol_calls": f"""WITH {_SY}, {_CE}, n AS (SELECT DISTINCT repo_path, git_hash, qualified_name AS name FROM sy WHERE kind = 'class')
         SELECT DISTINCT 'caller' AS direction, n.repo_path, n.git_hash, n.name, e.edge_id FROM n JOIN ce e ON e.repo_path = n.repo_path AND e.git_hash = n.git_hash AND (e.callee_name = n.name OR e.callee_qname = n.name)
         UNION SELECT DISTINCT 'callee', n.repo_path, n.git_hash, n.name, e.edge_id FROM n JOIN ce e ON e.repo_path = n.repo_path AND e.git_hash = n.git_hash AND e.caller_qname = n.name""",
-    "edges_of_file": f"WITH {_CE} SELECT edge_id FROM ce WHERE caller_path = 'src/api/noisy_segment.ts' OR callee_path = 'src/api/noisy_segment.ts' ORDER BY edge_id LIMIT 500",
+    "edges_of_file": f"WITH {_CE} SELECT edge_id FROM ce WHERE caller_path = '{ASKED_FILE}' OR callee_path = '{ASKED_FILE}' ORDER BY edge_id LIMIT 500",
 }

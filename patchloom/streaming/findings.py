@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.ranks import severity_weight
-from ..operators.indexing import carried_symbols, to_parse
+from ..operators.indexing import carried_symbols, latest_runs, to_parse
 from ..operators.store import Store
 from ..session import materialise
 
@@ -29,7 +29,7 @@ def sessions(events: DataFrame, key: str, time: str, gap: str = "30 minutes", la
 
 
 def incremental_index(files: DataFrame, store: Store, parse, checkpoint: str) -> StreamingQuery:
-    """Index snapshots as they arrive: only contents that the repository's stored snapshots lack are parsed.
+    """Index snapshots as they arrive: only contents that the repository's latest stored snapshot lacks are parsed.
 
     files: a stream of file_entries rows with their source. Each micro-batch is written first and
     its runs are published last; a batch that is run again replaces its own partitions.
@@ -38,13 +38,12 @@ def incremental_index(files: DataFrame, store: Store, parse, checkpoint: str) ->
     def index(batch: DataFrame, _: int) -> None:
         batch = batch.persist()
         try:
-            try:
-                known = store.read("file_entries").groupBy("repo_path", "rel_path", "content_hash").agg(F.max("git_hash").alias("git_hash"))
+            known, carried = batch.limit(0), None
+            if store.holds("index_runs"):
+                # A batch that is run again does not compare with what it published itself.
+                before = store.runs().join(batch.select("repo_path", "git_hash").distinct(), ["repo_path", "git_hash"], "left_anti")
+                known = store.read("file_entries").join(latest_runs(before).select("repo_path", "git_hash"), ["repo_path", "git_hash"], "left_semi")
                 carried = carried_symbols(batch, known, store.read("symbols"))
-            except Exception as error:  # noqa: BLE001
-                if "PATH_NOT_FOUND" not in str(error):
-                    raise
-                known, carried = batch.limit(0), None
             symbols = parse(to_parse(batch, known))
             if carried is not None:
                 symbols = symbols.unionByName(carried.select(symbols.columns))
