@@ -33,6 +33,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .arrow import batch_of, texts
-from .skew import BLOCK, join_counted
+from ..operators.skew import BLOCK, join_counted, prefiltered
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -58,6 +59,8 @@ LITERAL_LINE, DENSE_LINE = 50, 120
 
 #: A statement is a banner if at least this share of its contents has evidence, with so many standard deviations to spare.
 BANNER_SHARE, CERTAIN = 0.2, 4.0
+#: Heads that are hashed together.
+READ_ROWS = 256
 #: Words of a statement that are no mask.
 LEAST_WORDS = 2
 
@@ -151,12 +154,11 @@ class _Codes(dict):
 _CODES = _Codes()
 
 
-def gram_codes(words: list[str]) -> np.ndarray:
-    """64-bit hashes of each SHINGLE successive tokens."""
-    n = len(words) - SHINGLE + 1
+def gram_codes(codes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of each SHINGLE successive token codes."""
+    n = len(codes) - SHINGLE + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    codes = np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words))
     out = codes[:n].copy()
     for j in range(1, SHINGLE):
         out *= np.uint64(0x100000001B3)
@@ -166,25 +168,55 @@ def gram_codes(words: list[str]) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+def sets_of(texts: list[list[str]], valid: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each list of tokens, one after the other, and where each list's begin (and the last end).
+
+    valid tells of every token whether a shingle may begin with it. A list of fewer tokens than a shingle has none.
+    """
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    codes = np.fromiter(map(_CODES.__getitem__, chain.from_iterable(texts)), np.uint64, len(owner))
+    hashes = gram_codes(codes)
+    whole = owner[: len(hashes)] == owner[SHINGLE - 1 :] if len(hashes) else np.empty(0, bool)
+    if valid is not None:
+        whole &= np.array(valid[: len(hashes)], bool)
+    hashes, owner = hashes[whole], owner[: len(whole)][whole]
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    first = np.ones(len(hashes), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[first], owner[first]
+    return hashes, np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
 def shingles(words: list[str]) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; a text of fewer tokens than a shingle has none."""
-    return np.unique(gram_codes(words))
+    """Sorted distinct hashes of the shingles."""
+    return sets_of([words])[0]
 
 
-def signature(hashes: np.ndarray) -> tuple[list[int], list[int]]:
-    """Band keys, and one bit of each MinHash value in SIGNATURE/64 words."""
-    least = _least(hashes, SIGNATURE)
-    words = np.packbits((least & np.uint64(1)).astype(np.uint8)).view(np.int64)
-    return band_keys(least), words.tolist()
+def _least(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """n MinHash values of each set; of empty sets the greatest numbers."""
+    out = np.full((len(starts) - 1, n), np.iinfo(np.uint64).max, np.uint64)
+    some = np.flatnonzero(np.diff(starts))
+    if len(some):
+        out[some] = np.minimum.reduceat(hashes[:, None] * _ODD[:n] + _ADD[:n], starts[some])
+    return out >> np.uint64(20)
 
 
-def _least(hashes: np.ndarray, n: int) -> np.ndarray:
-    return (hashes[:, None] * _ODD[:n] + _ADD[:n]).min(axis=0) >> np.uint64(20)
+def signature(hashes: np.ndarray) -> tuple[list[int], list[int]]:
+    """Band keys, and one bit of each MinHash value in SIGNATURE/64 words."""
+    least = _least(hashes, np.array([0, len(hashes)]), SIGNATURE)
+    words = np.packbits((least[0] & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    return band_keys(least)[0].tolist(), words.tolist()
 
 
-def band_keys(least: np.ndarray) -> list[int]:
-    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS)
-    return [zlib.crc32(row.tobytes(), b) << 8 | b for b, row in enumerate(rows)]
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One key a band of each row of MinHash values; the number of the band is part of it."""
+    rows = least[:, : BANDS * ROWS].reshape(len(least), BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    for j in range(ROWS):
+        key = (key ^ rows[:, :, j]) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -195,6 +227,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
+_NO_WORD = frozenset({"N", "^", "$"})
 _AROUND = ".,;:()[]\"'`!*/#<>-|="
 
 
@@ -210,8 +243,8 @@ def statement_words(line: str) -> list[str]:
     return out
 
 
-def statements(comments: list[str]) -> list[int]:
-    """Hashes of the shingles of comment lines, whose ends are tokens too; a shorter line is one shingle."""
+def statement_tokens(comments: list[str]) -> tuple[list[str], list[bool]]:
+    """Tokens of comment lines, whose ends are tokens too, and where a statement begins: none runs over lines, and a short line is one."""
     words: list[str] = []
     valid: list[bool] = []
     for comment in comments:
@@ -220,14 +253,16 @@ def statements(comments: list[str]) -> list[int]:
             continue
         line = ["^", *said, "$"]
         line += ["$"] * (SHINGLE - len(line))
-        real = np.fromiter((w not in ("N", "^", "$") for w in line), np.int64, len(line))
-        counts = np.convolve(real, np.ones(SHINGLE, np.int64), "valid")
-        valid += (counts >= LEAST_WORDS).tolist() + [False] * (SHINGLE - 1)
+        real = [w not in _NO_WORD for w in line]
+        valid += [sum(real[i : i + SHINGLE]) >= LEAST_WORDS for i in range(len(line) - SHINGLE + 1)] + [False] * (SHINGLE - 1)
         words += line
-    if not words:
-        return []
-    kept = np.array(valid[: len(words) - SHINGLE + 1])
-    return np.unique(gram_codes(words)[kept]).view(np.int64).tolist()
+    return words, valid
+
+
+def statements(comments: list[str]) -> list[int]:
+    """Hashes of the shingles of comment lines."""
+    words, valid = statement_tokens(comments)
+    return sets_of([words], valid)[0].view(np.int64).tolist()
 
 
 def comments_of(head: str) -> list[str]:
@@ -264,11 +299,10 @@ def layout(head: str, masked: list[str]) -> str | None:
     return None
 
 
-@lru_cache(maxsize=4096)
-def _shingled(head: str) -> tuple[np.ndarray, np.ndarray]:
-    """Plain and masked shingles."""
-    masked, plain = tokens(head)
-    return shingles(plain), shingles(masked)
+@lru_cache(maxsize=1 << 14)
+def _shingled(head: str, masked: bool) -> np.ndarray:
+    """Masked or plain shingles."""
+    return shingles(tokens(head)[not masked])
 
 
 _HEADS = pa.schema(
@@ -278,16 +312,23 @@ _HEADS = pa.schema(
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for content, lines, head in zip(batch["content"].to_pylist(), batch["n_lines"].to_pylist(), texts(batch["head"])):
-            masked, plain = tokens(head)
-            comments = comments_of(head)
-            row = [content, marked(comments), layout(head, masked), lines, statements(comments)]
-            for own in (shingles(plain), shingles(masked)):
-                row += [hashlib.md5(own).digest(), band_keys(_least(own, BANDS * ROWS))] if len(own) else [None, None]
-            rows.append(tuple(row))
-        yield batch_of(_HEADS, rows)
+    for whole in batches:
+        for base in range(0, len(whole), READ_ROWS):
+            batch = whole.slice(base, READ_ROWS)
+            heads = texts(batch["head"])
+            found = [tokens(head) for head in heads]
+            comments = [comments_of(head) for head in heads]
+            said = [statement_tokens(c) for c in comments]
+            told, ends = sets_of([w for w, _ in said], [v for _, valid in said for v in valid])
+            columns = [batch["content"].to_pylist(), list(map(marked, comments)), [layout(head, masked) for head, (masked, _) in zip(heads, found)], batch["n_lines"].to_pylist()]
+            columns.append([told[a:b].view(np.int64) for a, b in zip(ends, ends[1:])])
+            for own in (1, 0):
+                hashes, starts = sets_of([f[own] for f in found])
+                keys = band_keys(_least(hashes, starts, BANDS * ROWS))
+                some = np.diff(starts) > 0
+                columns.append([hashlib.md5(hashes[a:b]).digest() if b > a else None for a, b in zip(starts, starts[1:])])
+                columns.append([row if has else None for row, has in zip(keys, some)])
+            yield batch_of(_HEADS, list(zip(*columns)))
 
 
 _SIGNED = pa.schema([("masked", pa.bool_()), ("like", pa.binary()), ("head", pa.string()), *((f"w{i}", pa.int64()) for i in range(SIGNATURE // 64))])
@@ -296,7 +337,7 @@ _SIGNED = pa.schema([("masked", pa.bool_()), ("like", pa.binary()), ("head", pa.
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = batch["masked"].to_pylist(), batch["like"].to_pylist(), texts(batch["head"])
-        yield batch_of(_SIGNED, [(masked, like, head, *signature(_shingled(head)[masked])[1]) for masked, like, head in zip(*columns)])
+        yield batch_of(_SIGNED, [(masked, like, head, *signature(_shingled(head, masked))[1]) for masked, like, head in zip(*columns)])
 
 
 _LINKS = pa.schema([("masked", pa.bool_()), ("content", pa.binary()), ("other", pa.binary())])
@@ -306,7 +347,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for masked, a, b, x, y in zip(*(batch[c].to_pylist() for c in _LINKS.names), texts(batch["head"]), texts(batch["other_head"])):
-            if similarity(*(_shingled(head)[masked] for head in (x, y))) >= SIMILARITY:
+            if similarity(_shingled(x, masked), _shingled(y, masked)) >= SIMILARITY:
                 rows.append((masked, a, b))
         if rows:
             yield batch_of(_LINKS, rows)
@@ -332,11 +373,11 @@ def components(pairs: DataFrame) -> DataFrame:
     """
     a, b = F.greatest("content", "other"), F.least("content", "other")
     edges = materialise(pairs.where("content <> other").select(a.alias("a"), b.alias("b")).distinct(), "links")
-    state = None
     while True:
         edges = materialise(_stars(_stars(edges, True), False), "stars")
-        last, state = state, edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == last:
+        # Stars: every node has one centre, and no centre has another.
+        nodes = edges.select("a", F.lit(1).alias("n")).unionByName(edges.select(F.col("b").alias("a"), F.lit(1).alias("n")).distinct())
+        if nodes.groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
             return edges.select(F.col("a").alias("content"), F.col("b").alias("family")).unionByName(
                 edges.select(F.col("b").alias("content"), F.col("b").alias("family")).distinct()
             )
@@ -352,18 +393,19 @@ def banners(said: DataFrame) -> DataFrame:
     return seen.where(least >= BANNER_SHARE).select("statement", "n", F.when(F.col("g") >= F.col("v"), "generated").otherwise("vendored").alias("kind"))
 
 
-def _told(read: DataFrame, rows: DataFrame) -> DataFrame:
-    """(content, mark, look, n_lines, silent, told): what a content states by public marks and banners, one row each."""
-    kinds = [F.bool_or(F.coalesce(F.col("named") == k, F.lit(False))).alias(k) for k in ("generated", "vendored")]
-    placed = rows.where("content is not null").groupBy("content").agg(*kinds)
-    once = read.select("content", "mark", "look", "n_lines", "statements").join(placed, "content", "left").dropDuplicates(["content"])
+def _told(read: DataFrame, by_content: DataFrame, plain: DataFrame) -> DataFrame:
+    """by_content with look, n_lines, silent, told and plain family (null without a shingle): what a content states by public marks and banners; contents that are read only."""
+    once = read.select("content", "mark", "look", "n_lines", "statements").join(by_content, "content", "left").dropDuplicates(["content"])
     once = materialise(once, "stated")
     evidence = [F.coalesce(F.col("generated") | F.col("mark"), F.col("mark")).alias("generated"), F.coalesce("vendored", F.lit(False)).alias("vendored")]
     said = once.select("content", F.explode("statements").alias("statement"), *evidence)
-    stating = join_counted(said.select("content", "statement"), banners(said), ["statement"], "n", F.xxhash64("content"))
+    known = materialise(banners(said), "banners")
+    stating = join_counted(said.select("content", "statement"), known, ["statement"], "n", F.xxhash64("content"))
     kind = stating.groupBy("content").agg(F.max_by("kind", F.struct("n", "kind")).alias("told"))
     told = F.when(F.col("mark"), "generated").otherwise(F.col("told"))
-    return once.join(kind, "content", "left").select("content", "look", "n_lines", (F.size("statements") == 0).alias("silent"), told.alias("told"))
+    silent = (F.size("statements") == 0).alias("silent")
+    joined = once.join(kind, "content", "left").join(plain, "content", "left")
+    return materialise(joined.select(*by_content.columns, "look", "n_lines", silent, told.alias("told"), "family"), "told")
 
 
 def _matches(column: str, pattern: str) -> Column:
@@ -380,8 +422,9 @@ def _sets(read: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
 def _links(banded: DataFrame, known: DataFrame) -> DataFrame:
     """(masked, content, other) of every two sets in a bucket of banded (masked, bucket, like) that are similar."""
     # Most buckets hold one set; they end here, and only the other sets are signed.
-    sizes = banded.groupBy("masked", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(join_counted(banded, sizes, ["masked", "bucket"], "n", F.xxhash64("like")), "buckets")
+    sizes = materialise(banded.groupBy("masked", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    met = prefiltered(banded, sizes, ["masked", "bucket"])
+    shared = materialise(join_counted(met, sizes, ["masked", "bucket"], "n", F.xxhash64("like")), "buckets")
     heads = known.withColumnRenamed("content", "like").join(shared.select("masked", "like").distinct(), "like")
     heads = heads.groupBy("masked", "like").agg(F.min("head").alias("head"))
     words = [f"w{i}" for i in range(SIGNATURE // 64)]
@@ -409,12 +452,12 @@ def read_heads(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def families(files: DataFrame, known: DataFrame, read: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain families (content, family) of several contents, and masked ones (content, snapshot, family); files has (content, snapshot)."""
+    """Plain families (content, family), and masked ones of each snapshot (content, snapshot, name, family); files has (content, snapshot, name)."""
     plain, plain_sets = _sets(read, "plain")
     masked, masked_sets = _sets(read, "masked")
     in_plain = plain_sets.select(F.lit(False).alias("masked"), F.explode("bands").alias("bucket"), "like")
     # Names are counted in a snapshot, so masked sets meet in its buckets: their number follows its files, not the corpus.
-    placed = materialise(files.where("snapshot is not null").join(masked, "content").select("snapshot", "content", "like").distinct(), "placed")
+    placed = materialise(files.where("snapshot is not null").join(masked, "content").select("snapshot", "content", "name", "like"), "placed")
     there = placed.select("snapshot", "like").distinct()
     in_snapshots = there.join(masked_sets, "like").select("snapshot", "like", F.explode("bands").alias("band"))
     in_masked = in_snapshots.select(F.lit(True).alias("masked"), F.xxhash64("snapshot", "band").alias("bucket"), "like")
@@ -426,19 +469,19 @@ def families(files: DataFrame, known: DataFrame, read: DataFrame) -> tuple[DataF
         .join(there.select("snapshot", F.col("like").alias("other")), ["snapshot", "other"])
         .select(node(F.col("like")).alias("content"), node(F.col("other")).alias("other"))
     )
-    labels = components(links.where("not masked").select("content", "other").unionByName(both))
+    labels = components(links.where("not masked").select("content", "other").unionByName(both)).withColumnRenamed("content", "node")
+    family = F.coalesce("family", "node").alias("family")
+    in_family = plain.withColumn("node", F.col("like")).join(labels, "node", "left").select("content", family)
+    return in_family, placed.withColumn("node", node(F.col("like"))).join(labels, "node", "left").select("content", "snapshot", "name", family)
 
-    def labelled(members: DataFrame, key: Column) -> DataFrame:
-        named = members.withColumn("node", key).join(labels.withColumnRenamed("content", "node"), "node", "left")
-        named = materialise(named.withColumn("family", F.coalesce("family", "node")).drop("node", "like"), "labelled")
-        several = named.groupBy("family").agg(F.count("*").alias("n")).where("n > 1")
-        return join_counted(named, several, ["family"], "n", F.xxhash64("content")).drop("n")
 
-    return labelled(plain, F.col("like")), labelled(placed, node(F.col("like")))
+def evidence_of(files: DataFrame, heads: DataFrame) -> DataFrame:
+    """(entry_id, told, named, minified, literal, alike, spread): what speaks for each row of files not being written by hand there.
 
-
-def not_handwritten(files: DataFrame, heads: DataFrame) -> DataFrame:
-    """(entry_id, kind) of the rows of files whose file was not written by hand there: generated, vendored, minified or data."""
+    told and named are kinds: what the content or its plain family states, and what the path says. minified and literal
+    are layouts, the latter with the size of data; alike is a masked family under several names, spread are plain
+    near-copies in several repositories.
+    """
     rows = files.select(
         "entry_id",
         "repo_path",
@@ -451,36 +494,45 @@ def not_handwritten(files: DataFrame, heads: DataFrame) -> DataFrame:
         .when(_matches("rel_path", MINIFIED_PATHS), "minified")
         .alias("named"),
     )
+    # A content that many files have is one row from here on.
+    by_content = rows.where("content is not null").groupBy("content").agg(
+        F.bool_or(F.coalesce(F.col("named") == "generated", F.lit(False))).alias("generated"),
+        F.bool_or(F.coalesce(F.col("named") == "vendored", F.lit(False))).alias("vendored"),
+        F.min("repo_path").alias("lo"), F.max("repo_path").alias("hi"), F.max("bytes").alias("most_bytes"), F.count("*").alias("n_rows"),
+    )
     known, read = read_heads(heads)
-    plain, masked = families(rows.select("content", "snapshot"), known, read)
-    evidence = _told(read, rows)
+    plain, masked = families(rows.select("content", "snapshot", "name"), known, read)
+    evidence = _told(read, by_content, plain)
     # What the members of a plain family state together, and in how many repositories they lie.
-    owned = plain.join(rows.select("content", "repo_path", "bytes"), "content", "left").join(evidence, "content", "left")
-    shared = owned.groupBy("family").agg(
-        F.max("told").alias("f_told"),
-        F.max("look").alias("f_look"),
-        F.max("bytes").alias("f_bytes"),
-        F.max("n_lines").alias("f_lines"),
-        (F.min("repo_path") != F.max("repo_path")).alias("f_spread"),
-        F.count("*").alias("n_members"),
+    shared = materialise(
+        evidence.where("family is not null").groupBy("family").agg(
+            F.max("told").alias("f_told"), F.max("look").alias("f_look"), F.max("most_bytes").alias("f_bytes"), F.max("n_lines").alias("f_lines"),
+            (F.min("lo") != F.max("hi")).alias("f_spread"), F.count("*").alias("n_members"),
+        ).where("n_members > 1 and (f_told is not null or f_look is not null) or f_spread"),
+        "shared",
+    )
+    told = F.coalesce("told", F.when(F.col("silent"), F.col("f_told")))
+    joined = join_counted(evidence, shared, ["family"], "n_members", F.xxhash64("content"), "left").select(
+        "content", "n_rows", "f_bytes", told.alias("told"), F.coalesce("look", "f_look").alias("look"), F.coalesce("n_lines", "f_lines").alias("lines"), F.coalesce("f_spread", F.lit(False)).alias("spread")
     )
-    by_content = evidence.join(join_counted(plain, shared, ["family"], "n_members", F.xxhash64("content")).drop("family"), "content", "left")
+    # Contents of which nothing is known leave their rows to the path.
+    judging = materialise(joined.where("n_rows is not null and (told is not null or look is not null or spread)"), "judging")
     # Masked families of one repository and snapshot under several names.
-    named = masked.join(rows.select("content", "snapshot", "name"), ["content", "snapshot"])
-    many = named.groupBy("family").agg(F.countDistinct("name").alias("names"), F.count("*").alias("n")).where(F.col("names") >= FAMILY_NAMES)
-    alike = join_counted(masked, many, ["family"], "n", F.xxhash64("content")).select("content", "snapshot").distinct()
+    masked = materialise(masked, "masked")
+    many = materialise(masked.groupBy("family").agg(F.countDistinct("name").alias("names"), F.count("*").alias("n")).where(F.col("names") >= FAMILY_NAMES), "many")
+    alike = join_counted(masked, many, ["family"], "n", F.xxhash64("content")).select("content", "snapshot", F.lit(True).alias("alike")).distinct()
 
-    told = F.coalesce("told", F.when(F.col("silent"), F.col("f_told")))
-    look = F.coalesce("look", "f_look")
-    size, lines = F.coalesce("bytes", "f_bytes"), F.coalesce("n_lines", "f_lines")
-    data = F.when(size.isNotNull(), size >= BLOB_BYTES).otherwise(F.coalesce((lines <= FEW_LINES) | (lines >= BLOB_LINES), F.lit(True)))
-    judged = rows.join(by_content, "content", "left").join(alike.withColumn("alike", F.lit(True)), ["content", "snapshot"], "left")
-    kind = (
-        F.when(told.isNotNull(), told)
-        .when(F.col("named").isNotNull(), F.col("named"))
-        .when(look == "minified", "minified")
-        .when((look == "literal") & data, "data")
-        .when(F.col("alike"), "generated")
-        .when(F.col("f_spread"), "vendored")
-    )
-    return judged.select("entry_id", kind.alias("kind")).where("kind is not null").dropDuplicates(["entry_id"])
+    size = F.coalesce("bytes", "f_bytes")
+    data = F.when(size.isNotNull(), size >= BLOB_BYTES).otherwise(F.coalesce((F.col("lines") <= FEW_LINES) | (F.col("lines") >= BLOB_LINES), F.lit(True)))
+    judged = join_counted(rows.drop("repo_path", "name"), judging, ["content"], "n_rows", F.xxhash64("entry_id"), "left").join(alike, ["content", "snapshot"], "left")
+    known = lambda c: F.coalesce(c, F.lit(False))
+    minified, literal = known(F.col("look") == "minified"), known((F.col("look") == "literal") & data)
+    return judged.select("entry_id", "told", "named", minified.alias("minified"), literal.alias("literal"), known(F.col("alike")).alias("alike"), known(F.col("spread")).alias("spread"))
+
+
+def not_handwritten(files: DataFrame, heads: DataFrame) -> DataFrame:
+    """(entry_id, kind) of the rows of files whose file was not written by hand there: generated, vendored, minified or data."""
+    layout = F.when(F.col("minified"), "minified").when(F.col("literal"), "data")
+    family = F.when(F.col("alike"), "generated").when(F.col("spread"), "vendored")
+    rows = evidence_of(files, heads).select("entry_id", F.coalesce("told", "named", layout, family).alias("kind"))
+    return rows.where("kind is not null").dropDuplicates(["entry_id"])
