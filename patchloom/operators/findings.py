@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 from ..functions.paths import path_key
 from ..functions.ranks import agent_priority, severity_weight
 from ..functions.text import is_blank, lines, plain_line, stripped
-from .skew import prefiltered
 
 CAP_PER_AGENT = 100
 NOTABLE_SHOWN = 8
@@ -188,8 +187,6 @@ def grounded(findings: DataFrame, texts: DataFrame) -> DataFrame:
     asked = asked.withColumn("word", F.when(F.size(inner) > 0, longest["w"]))
     held = texts.where("text <> ''").select("review_id", F.col("file_path").alias("t_path"), "text", F.xxhash64("review_id", "file_path", "text").alias("t_id"))
     words = held.select("review_id", "t_path", "t_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("word"))
-    # Only words that are asked for are shuffled.
-    words = prefiltered(words, asked.where("word is not null").select("review_id", "word").distinct(), ["review_id", "word"])
     there = F.col("t_path").isNull() | (F.col("t_path") == F.col("file_path"))
     keyed = asked.where("word is not null").join(words, ["review_id", "word"]).where(there)
     short = asked.where("word is null").join(held.drop("text"), "review_id").where(there)

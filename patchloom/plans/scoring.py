@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import WHITE_SPACE
 from ..operators import evals
 from ..operators.findings import distinct_findings
+from ..session import materialise
 from ..sources.tables import table
 
 #: The located security findings of a review stand for its expected issues; found are those of all agents.
@@ -39,7 +40,9 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, findings = _labels(spark, sf_dir), _findings(spark, sf_dir)
     negatives = labels.where("category = 'style'")
     clean = table(spark, sf_dir, "reviews").where("not run_tests and commit_message is null").select(F.col("review_id").alias("scenario_id"))
-    return evals.scenario_scores(labels, findings, evals.assigned(evals.candidates(labels, findings)), negatives, clean)
+    # Pairs are narrow and read three times.
+    pairs = materialise(evals.assigned(evals.candidates(labels, findings)), "pairs")
+    return evals.scenario_scores(labels, findings, pairs, negatives, clean)
 
 
 def scenario_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
