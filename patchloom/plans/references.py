@@ -10,7 +10,8 @@ from ..operators.orphans import Reference, key_of, orphans, orphans_per_period
 from ..sources.tables import table
 
 
-RUN = [F.col("repo_path"), F.col("git_hash")]
+def _run() -> list[Column]:
+    return [F.col("repo_path"), F.col("git_hash")]
 
 
 def index_references(spark: SparkSession, sf_dir: str, carry: list[Column] | None = None) -> list[Reference]:
@@ -18,11 +19,11 @@ def index_references(spark: SparkSession, sf_dir: str, carry: list[Column] | Non
     edges = table(spark, sf_dir, "call_edges").where("callee_path <> '' and callee_qname <> ''")
     symbols = table(spark, sf_dir, "symbols")
     files = table(spark, sf_dir, "file_entries")
-    symbol_key = [*RUN, same_path(F.col("rel_path")), same_name(F.col("qualified_name"))]
-    path_key = [*RUN, same_path(F.col("rel_path"))]
+    symbol_key = [*_run(), same_path(F.col("rel_path")), same_name(F.col("qualified_name"))]
+    path_key = [*_run(), same_path(F.col("rel_path"))]
     return [
         Reference(
-            "call_edges", edges, "edge_id", [*RUN, same_path(F.col("callee_path")), same_name(F.col("callee_qname"))],
+            "call_edges", edges, "edge_id", [*_run(), same_path(F.col("callee_path")), same_name(F.col("callee_qname"))],
             "symbols", symbols, symbol_key, carry or [],
         ),
         Reference("symbols", symbols, "symbol_id", path_key, "file_entries", files, path_key, carry or []),
@@ -35,7 +36,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_orphans_per_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphans per table and month of the snapshot's latest indexed_at; null where the snapshot has no run."""
-    run = key_of(RUN).alias("run")
+    run = key_of(_run()).alias("run")
     runs = table(spark, sf_dir, "index_runs").groupBy(run).agg(F.date_format(F.max("indexed_at"), "yyyy-MM").alias("period"))
     return orphans_per_period(index_references(spark, sf_dir, [run]), runs)
 
